@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 from .mixing import op7_mixing
+from .packing import op2_packing
+from .quality_crf import op8_quality
 from .quality_rules import op10_quality_rules
 from .secrets import op6_secrets
+from .toxicity import op5_toxicity
 
 QUERIES = {
+    "op2_packing": op2_packing,
+    "op5_toxicity": op5_toxicity,
     "op6_secrets": op6_secrets,
     "op7_mixing": op7_mixing,
+    "op8_quality": op8_quality,
     "op10_quality_rules": op10_quality_rules,
 }
 SQL: dict[str, str] = {}
