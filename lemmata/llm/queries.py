@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .mixing import op7_mixing
+from .neighbours import op9_neighbours
 from .packing import op2_packing
 from .quality_crf import op8_quality
 from .quality_rules import op10_quality_rules
@@ -15,6 +16,7 @@ QUERIES = {
     "op6_secrets": op6_secrets,
     "op7_mixing": op7_mixing,
     "op8_quality": op8_quality,
+    "op9_neighbours": op9_neighbours,
     "op10_quality_rules": op10_quality_rules,
 }
 SQL: dict[str, str] = {}
