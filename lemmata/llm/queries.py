@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .mixing import op7_mixing
+from .near_dups import op1_near_dups
 from .neighbours import op9_neighbours
 from .packing import op2_packing
 from .quality_crf import op8_quality
@@ -11,6 +12,7 @@ from .secrets import op6_secrets
 from .toxicity import op5_toxicity
 
 QUERIES = {
+    "op1_near_dups": op1_near_dups,
     "op2_packing": op2_packing,
     "op5_toxicity": op5_toxicity,
     "op6_secrets": op6_secrets,
