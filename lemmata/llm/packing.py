@@ -7,7 +7,7 @@ group. A group has as many sequences as its tokens need. Documents longer than
 a sequence first fill sequences of their own; then the documents, and the rests
 of the long ones, go in descending order of cost to the sequence of lowest cost
 that has room for the whole. What fits nowhere whole is cut to fill the room
-left, so that only the last sequence of a group can have padding.
+left, so that the padding of a group is less than one sequence.
 
 Defined results: a null text counts as empty, and an empty document is its end
 token alone; repeated rows are packed as separate documents; other columns are
@@ -16,7 +16,6 @@ ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import heapq
 import os
 import zlib
 from collections.abc import Iterator
@@ -33,7 +32,7 @@ GROUP_TOKENS = 4_000_000
 #: Cost of a token, and of a pair of tokens that attend to each other.
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 #: Words whose ids a Python worker remembers.
-CACHED_WORDS = 700_000
+CACHED_WORDS = 1_500_000
 
 
 def cost(n: int) -> float:
@@ -45,14 +44,41 @@ class WordTokenizer:
     joins what it separates; ids of words are remembered.
 
     Punctuation that ends a word is looked up apart, as the tokenizer cuts
-    there too. Texts with a special token's string go to it as a whole."""
+    there too. Words of letters alone are encoded many at a time and told apart
+    by the ids that end a word. Texts with a special token's string go to the
+    tokenizer as a whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, list[int]] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.dtype = "<u2" if len(self.ends) <= 1 << 16 else "<u4"
+        self.end = np.array([END], self.dtype).tobytes()
+        self.known: dict[bytes, bytes] = {}
+
+    def _one(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def _learn(self, fresh: list[bytes]) -> None:
+        known = self.known
+        texts = [w.decode() for w in fresh]
+        plain = [i for i, t in enumerate(texts) if t.isalpha()]
+        runs = [plain[at : at + 500] for at in range(0, len(plain), 500)]
+        for run, found in zip(runs, self.tokenizer.encode_batch_fast([" ".join([texts[i] for i in run]) for run in runs], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, self.dtype)
+            stop = np.flatnonzero(self.ends[ids]) + 1
+            if len(stop) == len(run):
+                raw, size, at = ids.tobytes(), ids.itemsize, 0
+                for i, e in zip(run, (stop * size).tolist(), strict=True):
+                    known[fresh[i]] = raw[at:e]
+                    at = e
+        for w, t in zip(fresh, texts, strict=True):
+            if w not in known:
+                known[w] = self._one(t)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         # lower-casing ASCII first is safe: the tokenizer does so itself
@@ -68,19 +94,12 @@ class WordTokenizer:
                 ends[w] = stem
         todo = {w for w in fresh if w not in ends}
         todo.update(x for w, stem in ends.items() for x in (stem, w[len(stem) :]) if x not in known)
-        part = list(todo)
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-        known.update(zip(part, (tuple(e.ids) for e in found), strict=True))
+        self._learn(list(todo))
         for w, stem in ends.items():
             known[w] = known[stem] + known[w[len(stem) :]]
-        out = []
-        for t, s in zip(texts, split, strict=True):
-            if s is None:
-                ids = self.tokenizer.encode(t, add_special_tokens=False).ids
-            else:
-                ids = [i for w in s for i in known[w]]
-            out.append(np.array([*ids, END], "<u4"))
-        return out
+        get = known.__getitem__
+        raw = [(self._one(t) if s is None else b"".join(map(get, s))) + self.end for t, s in zip(texts, split, strict=True)]
+        return [np.frombuffer(r, self.dtype).astype("<u4") for r in raw]
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -94,50 +113,40 @@ def tokenizer(path: str) -> WordTokenizer:
 
 def packed(sizes: list[int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset) of each piece."""
-    out, used, spent, rest = [], [], [], []
+    out, used, rest = [], 0, []
     for d, n in enumerate(sizes):
         for start in range(0, n - n % capacity, capacity):
-            out.append((d, start, capacity, len(used), 0))
-            used.append(capacity)
-            spent.append(cost(capacity))
+            out.append((d, start, capacity, used, 0))
+            used += 1
         if n % capacity:
             rest.append((n % capacity, d, n - n % capacity))
-    first = len(used)
+    first = used
     more = -(-sum(n for n, _, _ in rest) // capacity)
-    used += [0] * more
-    spent += [0.0] * more
-    heap = [(0.0, first + i) for i in range(more)]
+    room, spent = np.full(more, capacity), np.zeros(more)
 
     def put(n: int, d: int, start: int, s: int) -> None:
-        out.append((d, start, n, s, used[s]))
-        used[s] += n
+        out.append((d, start, n, first + s, capacity - int(room[s])))
+        room[s] -= n
         spent[s] += cost(n)
 
     left = []
     for n, d, start in sorted(rest, key=lambda x: (-x[0], x[1])):
-        tried = []
-        while heap and used[heap[0][1]] + n > capacity:
-            tried.append(heapq.heappop(heap))
-        if heap:
-            s = heap[0][1]
+        open_ = np.where(room >= n, spent, np.inf)
+        s = int(open_.argmin())
+        if open_[s] < np.inf:
             put(n, d, start, s)
-            heapq.heapreplace(heap, (spent[s], s))
         else:
             left.append((n, d, start))
-        for x in tried:
-            if used[x[1]] < capacity:
-                heapq.heappush(heap, x)
-    # fill the fullest first: one sequence at most stays short
-    room = [s for s in range(first, len(used)) if used[s] < capacity]
-    room.sort(key=lambda s: used[s])
+    # fill the fullest first: the room left is less than a sequence in all
+    short = sorted(np.flatnonzero(room), key=lambda s: -room[s])
     for n, d, start in left:
         while n:
-            s = room[-1]
-            k = min(n, capacity - used[s])
+            s = short[-1]
+            k = min(n, int(room[s]))
             put(k, d, start, s)
             n, start = n - k, start + k
-            if used[s] == capacity:
-                room.pop()
+            if not room[s]:
+                short.pop()
     return out
 
 
