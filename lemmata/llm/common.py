@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -51,3 +52,10 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def released(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any
+    more, which it does once the driver has collected its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -9,11 +9,13 @@ from .packing import op2_packing
 from .quality_crf import op8_quality
 from .quality_rules import op10_quality_rules
 from .secrets import op6_secrets
+from .suffix_dedup import op4_repeats
 from .toxicity import op5_toxicity
 
 QUERIES = {
     "op1_near_dups": op1_near_dups,
     "op2_packing": op2_packing,
+    "op4_repeats": op4_repeats,
     "op5_toxicity": op5_toxicity,
     "op6_secrets": op6_secrets,
     "op7_mixing": op7_mixing,
