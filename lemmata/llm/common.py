@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import gc
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,12 +29,19 @@ def scratch(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
+def written(df: DataFrame, what: str, batch: int = 1000) -> DataFrame:
     """``df`` as a Parquet table in the scratch folder, read again. This cuts
-    the lineage, and the rows survive the loss of any executor."""
+    the lineage, and the rows survive the loss of any executor. Python
+    functions in its plan get ``batch`` rows at a time, which bounds what they
+    and the JVM hold of long texts."""
     spark = df.sparkSession
-    path = f"{scratch(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path, key = f"{scratch(spark)}/{what}-{uuid.uuid4().hex}", "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(batch))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -59,3 +70,20 @@ def released(spark: SparkSession) -> None:
     more, which it does once the driver has collected its garbage."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def trimming(f):
+    """The function of Arrow batches ``f``, which gives the memory that it has
+    freed back to the system at its end; a Python worker serves many tasks and
+    would else keep it while the JVM beside it needs it."""
+
+    @functools.wraps(f)
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run

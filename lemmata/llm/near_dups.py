@@ -43,7 +43,7 @@ REGION, NEIGHBOURS = 32, 3
 #: Estimated similarity below which a neighbour in a crowded region is no candidate yet.
 LIKELY = 0.7
 #: Classes in a block of those outside the largest component, and of all.
-ASKING, ASKED = 256, 1024
+ASKING, ASKED = 128, 512
 _PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: For each value of a signature, where an empty one is taken from, in turn.
@@ -241,7 +241,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sets = written(full.dropDuplicates(["id"]), "sets")
     left, right = sets.select(F.col("id").alias("a"), F.col("set").alias("x")), sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
     links = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long")
-    links = written(links, "links")
+    links = written(links, "links", 200)
     found = components(links)
 
     # what crowded regions leave apart
@@ -255,7 +255,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     asking = member.where("component <> largest").groupBy("key", "p").agg(F.collect_list(entry).alias("asking"), F.first("q_all").alias("q_all"))
     asking = asking.select("key", "asking", F.explode(F.sequence(F.lit(0).cast("long"), F.col("q_all") - F.lit(1).cast("long"))).alias("q"))
     asked = member.groupBy("key", "q").agg(F.collect_list(entry).alias("asked"))
-    more = written(asking.join(asked, ["key", "q"]).select("asking", "asked").mapInArrow(_blocks(percent), "a long, b long"), "more-links")
+    more = written(asking.join(asked, ["key", "q"]).select("asking", "asked").mapInArrow(_blocks(percent), "a long, b long"), "more-links", 4)
     if not more.isEmpty():
         merged = components(more).select(F.col("id").alias("component"), F.col("component").alias("to"))
         lone = merged.select(F.col("component").alias("id"), "to").join(found, "id", "left_anti").select("id", F.col("to").alias("component"))

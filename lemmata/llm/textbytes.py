@@ -14,7 +14,7 @@ from .common import SPACES, mix64
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[ord(c) for c in SPACES]] = True
 #: Text bytes worked on at once, unless one text is longer.
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: A fixed random odd value for each byte.
@@ -38,22 +38,23 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 def powers(n: int, inverse: bool = False) -> np.ndarray:
     """Powers 0 to n-1, at least, of the base or of its inverse."""
-    size = 1 << max(22, int(n).bit_length())
+    size = 1 << max(20, int(n).bit_length())
     return _powers(_INVERSE if inverse else _BASE, size)
 
 
 def chunks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of runs of rows; a null counts as empty."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    n = len(texts)
-    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
-    data = texts.buffers()[2]
-    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-    at = 0
-    while at < n:
-        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK, "right")) - 1)
-        yield at, data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
-        at = end
+    for base in range(0, len(texts), 500):
+        part = pc.fill_null(texts.slice(base, 500).cast(pa.large_string()), "")
+        n = len(part)
+        offsets = np.frombuffer(part.buffers()[1], np.int64)[part.offset : part.offset + n + 1]
+        data = part.buffers()[2]
+        data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+        at = 0
+        while at < n:
+            end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK, "right")) - 1)
+            yield base + at, data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
+            at = end
 
 
 def prefix_hashes(data: np.ndarray, values: np.ndarray = BYTE_VALUES) -> np.ndarray:
