@@ -37,16 +37,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import released, table, written
+from .common import released, table, trimming, written
 from .losertree import decoded, front_coded, merged
 from .textbytes import chunks, powers, prefix_hashes, span_hashes
 
 LENGTH, ANCHOR = 200, 32
 HOT = 5000
 #: Anchors in a range, and records whose windows are told apart at once.
-RANGE, BATCH = 40_000, 20_000
+RANGE, BATCH = 20_000, 4_000
 #: Text bytes that a task sorts as one run.
-RUN_BYTES = 48 << 20
+RUN_BYTES = 8 << 20
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR):
@@ -89,6 +89,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, anchor:
     return row, h[place].view(np.int64), place - base, inside[first] - base, inside[last] - base
 
 
+@trimming
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for at, data, offsets in chunks(b.column(1)):
@@ -97,9 +98,10 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row + at)), pa.array(h), pa.array(packed)], names=["k", "h", "p"])
 
 
+@trimming
 def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     press = zstandard.ZstdCompressor(level=1)
-    for b in batches:
+    for b in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
         z = [press.compress((t or "").encode()) for t in b.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(z, pa.binary()), *b.columns[2:]], names=["k", "z", *b.schema.names[2:]])
 
@@ -120,6 +122,7 @@ def _runs(ranges: int):
     the window hashes of records of hot anchors."""
     names = ["target", "run", "hashes", "k", "at", "rec"]
 
+    @trimming
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         serial = TaskContext.get().partitionId() << 33
         press, open_ = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
@@ -219,6 +222,7 @@ def covered(rows: list[tuple[bytes, int, int, int, int]]) -> tuple[np.ndarray, n
     return np.array(recs)[owner[first]], offset[first], offset[last] + LENGTH
 
 
+@trimming
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     open_ = zstandard.ZstdDecompressor()
 
@@ -226,10 +230,10 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in covered(rows)], names=["rec", "s", "e"])
 
     for b in batches:
-        for blobs in b.column(0).to_pylist():
+        for blobs in b.column(0):
             runs, heads = [], []
             for z in blobs:
-                blob = open_.decompress(z)
+                blob = open_.decompress(z.as_py())
                 n = struct.unpack_from("<I", blob)[0]
                 heads.append(iter(np.frombuffer(blob, np.int64, 3 * n, 4).reshape(n, 3).tolist()))
                 runs.append(decoded(blob[4 + 24 * n :]))
@@ -253,31 +257,37 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield result(rows)
 
 
-def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    open_ = zstandard.ZstdDecompressor()
-    for b in batches:
-        out = []
-        for z, ranges in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-            text = open_.decompress(z.as_py())
-            spans: list[list[int]] = []
-            for r in sorted((x["s"], x["e"]) for x in ranges or ()):
-                if spans and r[0] <= spans[-1][1]:
-                    spans[-1][1] = max(spans[-1][1], r[1])
-                else:
-                    spans.append(list(r))
-            kept, at = [], 0
-            for s, e in spans:
-                kept.append(text[at:s])
-                at = e
-            left = b"".join([*kept, text[at:]])
-            out.append((len(text), len(text) - len(left), len(spans), hashlib.sha256(left).hexdigest(), left))
-        cols = list(zip(*out, strict=True)) if out else [()] * 5
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([b.column(2), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-
-def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of every row."""
+def _apply(with_kept: bool):
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+
+    @trimming
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = zstandard.ZstdDecompressor()
+        for b in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
+            out = []
+            for z, ranges in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                text = open_.decompress(z.as_py())
+                spans: list[list[int]] = []
+                for r in sorted((x["s"], x["e"]) for x in ranges or ()):
+                    if spans and r[0] <= spans[-1][1]:
+                        spans[-1][1] = max(spans[-1][1], r[1])
+                    else:
+                        spans.append(list(r))
+                kept, at = [], 0
+                for s, e in spans:
+                    kept.append(text[at:s])
+                    at = e
+                left = b"".join([*kept, text[at:]])
+                out.append((len(text), len(text) - len(left), len(spans), hashlib.sha256(left).hexdigest(), left if with_kept else None))
+            yield pa.RecordBatch.from_arrays([b.column(2), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True))], names=names)
+
+    return run
+
+
+def remove_repeats(docs: DataFrame, hot: int = HOT, with_kept: bool = True) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of every row;
+    ``kept`` is null unless ``with_kept``."""
     spark = docs.sparkSession
     # rows that agree in doc_id and text agree in their result, so this key may stand for both
     source = docs.select(F.xxhash64("doc_id", "text").alias("k"), "doc_id", "text")
@@ -288,22 +298,22 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     by_text = spots.dropDuplicates(["k", "p"]).groupBy("k").agg(F.collect_list(F.struct("h", "p", "hot")).alias("spots"))
     held = squeezed(source).join(by_text, "k").select("k", "z", "spots")
     ranges = max(1, spots.count() // RANGE)
-    runs = written(held.mapInArrow(_runs(ranges), "target long, run binary, hashes array<long>, k long, at array<long>, rec array<long>"), "runs")
+    runs = written(held.mapInArrow(_runs(ranges), "target long, run binary, hashes array<long>, k long, at array<long>, rec array<long>"), "runs", 200)
     released(spark)
     merge = runs.where("run is not null").groupBy("target").agg(F.collect_list("run").alias("runs"))
     back = merge.select("runs").mapInArrow(_merge, "rec long, s long, e long")
     windows = runs.where("hashes is not null").select(F.col("target").alias("times"), F.get("rec", F.lit(0)).alias("rec"), F.get("rec", F.lit(1)).alias("base"), F.posexplode("hashes").alias("i", "hash"))
     again = windows.groupBy("hash").agg(F.sum("times").alias("n")).where("n > 1").select("hash")
     s = F.col("base") + F.col("i")
-    back = written(back.union(windows.join(again, "hash").select("rec", s, s + LENGTH)), "covered")
+    back = written(back.union(windows.join(again, "hash").select("rec", s, s + LENGTH)), "covered", 1)
     places = runs.where("k is not null").select("k", F.explode(F.arrays_zip("at", "rec")).alias("x")).select("k", "x.at", "x.rec")
     spans = places.join(back, "rec").groupBy("k").agg(F.collect_set(F.struct((F.col("at") + F.col("s")).alias("s"), (F.col("at") + F.col("e")).alias("e"))).alias("ranges"))
     spans = written(spans, "spans")
     released(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = squeezed(source, "doc_id").join(spans, "k", "left").select("z", "ranges", "doc_id")
-    return out.mapInArrow(_apply, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return out.mapInArrow(_apply(with_kept), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    return remove_repeats(table(spark, sf_dir, "documents"), with_kept=False).drop("kept")
