@@ -99,7 +99,7 @@ simple("acc_theta", "part", [cond("part", eq(v("p"), f("p_partkey")), eq(v("b"),
 simple("acc_result_join", "orders", [acc("m", a.max_("o_totalprice"), cond("orders")), cond("orders", eq(v("m"), f("o_totalprice")), eq(v("k"), f("o_orderkey")))], "SELECT o_totalprice AS m, o_orderkey AS k FROM orders WHERE o_totalprice = (SELECT max(o_totalprice) FROM orders)")
 simple("acc_result_in_negation", "customer orders", [cond("customer", eq(v("c"), f("c_custkey"))), acc("m", a.max_("o_totalprice"), ORDERS), not_(cond("orders", eq(v("c"), f("o_custkey")), f("o_totalprice") < v("m") * 0.1))], "SELECT c_custkey AS c, m FROM customer JOIN (SELECT o_custkey, max(o_totalprice) AS m FROM orders GROUP BY o_custkey) x ON x.o_custkey = c_custkey WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c_custkey AND o.o_totalprice < m * 0.1)")
 simple("acc_result_unify", "orders", [cond("orders", eq(v("c"), f("o_custkey")), eq(v("m"), f("o_totalprice")), eq(v("k"), f("o_orderkey"))), acc("m", a.max_("o_totalprice"), ORDERS)], "SELECT o_custkey AS c, o_totalprice AS m, o_orderkey AS k FROM orders o WHERE o_totalprice = (SELECT max(o_totalprice) FROM orders x WHERE x.o_custkey = o.o_custkey)")
-simple("acc_custom", "lineitem", [acc("x", a.accum(F.lit(0.0), lambda s, e: s + e * e, lambda s: F.round(s, 2), "l_quantity"), cond("lineitem", eq(v("r"), f("l_suppkey"))))], "SELECT l_suppkey AS r, round(sum(l_quantity * l_quantity), 2) AS x FROM lineitem GROUP BY l_suppkey")
+simple("acc_custom", "lineitem", [acc("x", a.accum(0.0, lambda s, e: s + e * e, lambda s: F.round(s, 2), "l_quantity"), cond("lineitem", eq(v("r"), f("l_suppkey"))))], "SELECT l_suppkey AS r, round(sum(l_quantity * l_quantity), 2) AS x FROM lineitem GROUP BY l_suppkey")
 simple("acc_reduce", "nation", [acc("x", a.accum(None, lambda s, e: F.greatest(s, e), field="n_name"), cond("nation", eq(v("r"), f("n_regionkey"))))], "SELECT n_regionkey AS r, max(n_name) AS x FROM nation GROUP BY n_regionkey")
 simple("acc_with_finish", "nation", [acc("x", a.all_("n_name").with_finish(lambda x: F.size(x).cast("long")), cond("nation", eq(v("r"), f("n_regionkey"))))], "SELECT n_regionkey AS r, count(*) AS x FROM nation GROUP BY n_regionkey")
 

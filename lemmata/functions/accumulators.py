@@ -130,10 +130,10 @@ def grouping_by(field, convert: Callable[[Column], Column] | None = None) -> Acc
     return Accumulator("grouping_by", build, lambda: F.array(), by.fields(), True, convert, ("grouping_by", field) if convert is None else ())
 
 
-def accum(initial: Column | None, reduce: Callable[[Column, Column], Column], finish: Callable[[Column], Column] | None = None, field=None, empty: bool = True) -> Accumulator:
+def accum(initial, reduce: Callable[[Column, Column], Column], finish: Callable[[Column], Column] | None = None, field=None, empty: bool = True) -> Accumulator:
     """A reduction by Column functions over the facts, or values of ``field``,
-    in sorted order. Without ``initial`` the first value starts it and no facts
-    give nothing."""
+    in sorted order. ``initial`` is a value or a function that gives a Column;
+    without it the first value starts the reduction and no facts give nothing."""
     by = _by(field) if field is not None else None
     read = _reader(by) if by is not None else {"whole": True}
 
@@ -141,9 +141,10 @@ def accum(initial: Column | None, reduce: Callable[[Column, Column], Column], fi
         items = _list(s, p, by.column(s) if by is not None else s.this())
         if initial is None:
             return F.when(F.size(items) > 0, F.aggregate(F.slice(items, 2, F.greatest(F.size(items), F.lit(1))), F.get(items, F.lit(0)), reduce))
-        return F.aggregate(items, initial, reduce)
+        return F.aggregate(items, begin(), reduce)
 
-    return Accumulator("accum", build, (lambda: initial) if initial is not None and empty else None, **read, finish=finish)
+    begin = initial if callable(initial) else lambda: F.lit(initial)
+    return Accumulator("accum", build, begin if initial is not None and empty else None, **read, finish=finish)
 
 
 def accum_python(fn: Callable[[list], object], kind: T.DataType | str, field=None, empty=None) -> Accumulator:

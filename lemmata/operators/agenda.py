@@ -71,8 +71,6 @@ class Agenda:
         for k, tokens in enumerate(lower.tokens(r.when)):
             parts = [F.col(f"`{c}`") for c in sorted(tokens.columns) if not c.startswith("a_")]
             tokens = tokens.withColumn(TID, F.xxhash64(F.lit(r.name), F.lit(k), *parts))
-            ids = [F.col(c) for c in tokens.columns if c.startswith("m_")]
-            tokens = tokens.withColumn("__from", F.array(*ids) if ids else F.array().cast("array<long>"))
             out = tokens if out is None else out.unionByName(tokens, allowMissingColumns=True)
         return stored(out)
 
@@ -82,13 +80,6 @@ class Agenda:
         was = self.fired.get(r.name)
         new = now if was is None else now.join(was, TID, "left_anti")
         gone = None if was is None else was.join(now, TID, "left_anti")
-        if r.no_loop and was is not None:
-            mine = self._made_by(r)
-            if mine is not None:
-                # activations that only the rule's own effects brought about or ended do not count
-                own = new.select(TID, F.explode("__from").alias(FID)).join(mine, FID, "left_semi").select(TID).distinct()
-                new = new.join(own, TID, "left_anti")
-                gone = None
         new = stored(new)
         n_new = new.count()
         n_gone = 0
@@ -109,15 +100,11 @@ class Agenda:
         if n_new:
             self.tell("fire-activations", r.name, n_new)
             self.apply(r, new)
+            if r.no_loop:
+                # what its own effects brought about or ended counts as settled
+                self.fired[r.name] = stored(self.current(r).select(TID))
         return bool(r.then) and (n_new > 0 or n_gone > 0)
 
-    def _made_by(self, r: Rule) -> DataFrame | None:
-        out = None
-        for d in self.derived.values():
-            part = d.where(F.col("__rule") == r.name).select(FID)
-            out = part if out is None else out.unionByName(part)
-        return out
-
     def apply(self, r: Rule, new: DataFrame) -> None:
         """Unconditional insertions, then logical ones, then retractions."""
         order = sorted(enumerate(r.then), key=lambda x: (not isinstance(x[1], Action), not isinstance(x[1], Insert), isinstance(x[1], Insert) and not x[1].unconditional))
