@@ -48,7 +48,7 @@ class WordTokenizer:
     by the ids that end a word. Texts with a special token's string go to the
     tokenizer as a whole."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached_words: int = CACHED_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -59,6 +59,7 @@ class WordTokenizer:
         self.dtype = "<u2" if len(self.ends) <= 1 << 16 else "<u4"
         self.end = np.array([END], self.dtype).tobytes()
         self.known: dict[bytes, bytes] = {}
+        self.cached_words = cached_words
 
     def _one(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -84,7 +85,7 @@ class WordTokenizer:
         # lower-casing ASCII first is safe: the tokenizer does so itself
         split = [None if "<|" in t else t.encode().lower().split() for t in texts]
         known = self.known
-        if len(known) > CACHED_WORDS:
+        if len(known) > self.cached_words:
             known.clear()
         fresh = {w for s in split if s for w in s if w not in known}
         ends = {}
@@ -105,9 +106,11 @@ class WordTokenizer:
 _TOKENIZERS: dict[str, WordTokenizer] = {}
 
 
-def tokenizer(path: str) -> WordTokenizer:
+def tokenizer(path: str, cached_words: int = CACHED_WORDS) -> WordTokenizer:
+    """The worker's own tokenizer, with its memory, for all its tasks."""
     if path not in _TOKENIZERS:
         _TOKENIZERS[path] = WordTokenizer(path)
+    _TOKENIZERS[path].cached_words = cached_words
     return _TOKENIZERS[path]
 
 
@@ -153,14 +156,15 @@ def packed(sizes: list[int], capacity: int = CAPACITY) -> list[tuple[int, int, i
 SCHEMA = "doc_id {}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, cost double, ids array<int>"
 
 
-def pack_documents(docs: DataFrame, path: str, with_ids: bool = True, group_tokens: int = GROUP_TOKENS) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, with_ids: bool = True, group_tokens: int = GROUP_TOKENS, cached_words: int = CACHED_WORDS) -> DataFrame:
     """A row for each piece; ``ids`` are its tokens if ``with_ids``."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def group(ids: list, tokens: list, serial: int) -> Iterator[pa.RecordBatch]:
         pieces = packed([len(t) for t in tokens])
-        for at in range(0, len(pieces), 4096):
-            part = pieces[at : at + 4096]
+        step = 256 if with_ids else 4096
+        for at in range(0, len(pieces), step):
+            part = pieces[at : at + step]
             cut = [tokens[d][s : s + n] for d, s, n, _, _ in part]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -178,7 +182,7 @@ def pack_documents(docs: DataFrame, path: str, with_ids: bool = True, group_toke
             )
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(path).encode
+        encode = tokenizer(path, cached_words).encode
         serial = TaskContext.get().partitionId() << 33
         ids, tokens, total = [], [], 0
         for b in batches:
