@@ -292,7 +292,8 @@ def remove_repeats(docs: DataFrame, hot: int = HOT, with_kept: bool = True) -> D
     # rows that agree in doc_id and text agree in their result, so this key may stand for both
     source = docs.select(F.xxhash64("doc_id", "text").alias("k"), "doc_id", "text")
     found = source.where(F.octet_length("text") >= LENGTH).select("k", "text").mapInArrow(_find, "k long, h long, p long")
-    twice = found.groupBy("h").count().where("count > 1").select("h", (F.col("count") > hot).alias("hot"))
+    # a table of its own, so that the join can split the rows of a frequent hash
+    twice = written(found.groupBy("h").count().where("count > 1").select("h", (F.col("count") > hot).alias("hot")), "twice")
     spots = written(found.join(twice, "h"), "anchors")
     released(spark)
     by_text = spots.dropDuplicates(["k", "p"]).groupBy("k").agg(F.collect_list(F.struct("h", "p", "hot")).alias("spots"))
