@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import hash_sample
+
 
 def fold(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string")) % n
@@ -19,10 +21,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, keep) -> D
         .where(keep(F.col("doc_id")))
         .groupBy("doc_id")
         .agg(F.max(label).cast("int").alias("y"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(rows)
-        .withColumnRenamed("doc_id", "_id")
     )
+    chosen = hash_sample(chosen, "doc_id", rows).withColumnRenamed("doc_id", "_id")
     # bounded by ``rows``
     return docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).drop("_id")
 

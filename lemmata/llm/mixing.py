@@ -53,7 +53,7 @@ def targets(sizes: list[tuple[str | None, int]], weights=(3, 1, 2), share: float
         rate = left / sum(weight[s] for s in open_)
         full = [s for s, n in open_.items() if rate * weight[s] > max_epochs * n]
         if not full:
-            return out | {s: rate * weight[s] for s in open_}
+            return out | {s: round(rate * weight[s], 6) for s in open_}
         for s in full:
             out[s] = max_epochs * open_.pop(s)
             left -= out[s]
@@ -142,3 +142,35 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = with_shares(table(spark, sf_dir, "documents"))
     first = F.get("readings", F.lit(0))["position"]
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "start", F.size("readings").alias("n_readings"), F.round(first, 6).alias("position")).orderBy("position", "doc_id")
+
+
+SQL = """
+WITH d AS (
+  SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, '')) AS key,
+         len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size
+  FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS n, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i FROM d GROUP BY source),
+w AS (SELECT *, CASE i % 3 WHEN 0 THEN 3.0 WHEN 1 THEN 1.0 ELSE 2.0 END::DOUBLE AS w FROM s),
+o AS (
+  SELECT *, 2.0::DOUBLE * n / w AS ratio,
+         (1.5::DOUBLE * (SELECT sum(n) FROM s) - coalesce(sum(2.0::DOUBLE * n) OVER (ORDER BY 2.0::DOUBLE * n / w, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / sum(w) OVER (ORDER BY 2.0::DOUBLE * n / w, i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rate
+  FROM w),
+r AS (SELECT rate FROM o WHERE rate <= ratio ORDER BY ratio, i LIMIT 1),
+t AS (SELECT w.*, coalesce(least(2.0::DOUBLE * n, round((SELECT rate FROM r) * w, 6)), 2.0::DOUBLE * n) AS target FROM w),
+p AS (
+  SELECT d.doc_id, d.size, t.n AS source_size, t.target, t.i, round(t.target)::BIGINT AS whole,
+         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+q AS (
+  SELECT *, greatest(0, least(size, whole - start)) AS a, greatest(0, least(size, whole - start - source_size)) AS b
+  FROM p),
+u AS (SELECT *, CASE WHEN target > 0 THEN least((start + CASE WHEN a > 0 THEN 0 ELSE source_size END) / target, 1) ELSE 0 END AS x FROM q)
+SELECT doc_id, size, source_size, target, (a + b)::BIGINT AS taken, start, ((a > 0)::INT + (b > 0)::INT)::INT AS n_readings,
+       CASE WHEN a + b > 0 THEN round(CASE
+         WHEN i % 3 = 0 THEN 2 * x / (1.5 + sqrt(2.25 - 2 * x))
+         WHEN i % 3 = 1 THEN 2 * x / (0.5 + sqrt(0.25 + 2 * x))
+         WHEN x < 0.55 THEN 2 * x / (0.8 + sqrt(0.64 + 2.4 * x))
+         ELSE 0.5 + 2 * (x - 0.55) / (1.4 + sqrt(1.96 - 4 * (x - 0.55))) END, 6) END AS position
+FROM u
+"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .mixing import SQL as MIXING_SQL
 from .mixing import op7_mixing
 from .near_dups import op1_near_dups
 from .neighbours import op9_neighbours
@@ -11,10 +12,13 @@ from .quality_rules import op10_quality_rules
 from .secrets import op6_secrets
 from .suffix_dedup import op4_repeats
 from .toxicity import op5_toxicity
+from .url_filters import SQL as URL_SQL
+from .url_filters import op3_url_filters
 
 QUERIES = {
     "op1_near_dups": op1_near_dups,
     "op2_packing": op2_packing,
+    "op3_url_filters": op3_url_filters,
     "op4_repeats": op4_repeats,
     "op5_toxicity": op5_toxicity,
     "op6_secrets": op6_secrets,
@@ -23,4 +27,6 @@ QUERIES = {
     "op9_neighbours": op9_neighbours,
     "op10_quality_rules": op10_quality_rules,
 }
-SQL: dict[str, str] = {}
+#: The others fit models, hash, tokenize or search approximately; they are tested
+#: against brute force, round trips and held-out labels.
+SQL: dict[str, str] = {"op3_url_filters": URL_SQL, "op7_mixing": MIXING_SQL}

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import hash_sample, table
 
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -114,7 +114,7 @@ def _joined(spans) -> str:
 def fitted(docs: DataFrame) -> np.ndarray:
     """The ratio model, its ordinary words from ``TRAIN_DOCUMENTS`` documents
     (4000 words of each at most) that the patterns find no secret in."""
-    clean = docs.where(F.col("text").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCUMENTS)
+    clean = hash_sample(docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text"), "doc_id", TRAIN_DOCUMENTS)
     words = clean.select(F.slice(F.split("text", r"[\x20\x09-\x0D]+"), 1, 4000).alias("w")).collect()
     return ratio_model([w for r in words for w in r["w"] if not base_spans(w)])
 
