@@ -23,6 +23,7 @@ class Scope:
     field: Callable[[str], Column]
     var: Callable[[str], Column]
     this: Callable[[], Column] | None = None
+    strict: str | None = None  # what to say of null in a comparison, if it is an error
 
 
 class Expr:
@@ -186,7 +187,11 @@ class Op(Expr):
         return self.args
 
     def column(self, scope):
-        return _OPS[self.name](*(a.column(scope) for a in self.args))
+        args = [a.column(scope) for a in self.args]
+        out = _OPS[self.name](*args)
+        if scope.strict and self.name in ("<", "<=", ">", ">="):
+            return F.when(args[0].isNull() | args[1].isNull(), F.raise_error(F.lit(f"null in a comparison: {scope.strict}"))).otherwise(out)
+        return out
 
 
 def op(name: str, *args) -> Op:

@@ -37,11 +37,11 @@ class State:
 
 
 class Agenda:
-    def __init__(self, rulebase: Rulebase, spark: SparkSession, base: dict, state: State, max_cycles: int, listeners: tuple):
+    def __init__(self, rulebase: Rulebase, spark: SparkSession, base: dict, state: State, max_cycles: int, listeners: tuple, strict: bool = False):
         self.rulebase, self.spark = rulebase, spark
         self.base, self.derived, self.fired = dict(base), dict(state.derived), dict(state.fired)
         self.log = list(state.log)
-        self.max_cycles, self.listeners = max_cycles, listeners
+        self.max_cycles, self.listeners, self.strict = max_cycles, listeners, strict
         self.below = descendants(rulebase.types)
 
     # facts
@@ -66,7 +66,7 @@ class Agenda:
     def current(self, r: Rule) -> DataFrame:
         """Activations now: tokens with an id from the rule, the branch, the ids
         of matched facts in order and the bindings, accumulated values among them."""
-        lower = Lowering(self.spark, lambda t, i: self.facts(t), lineage=True)
+        lower = Lowering(self.spark, lambda t, i: self.facts(t), lineage=True, strict=self.strict)
         out = None
         for k, tokens in enumerate(lower.tokens(r.when)):
             parts = [F.col(f"`{c}`") for c in sorted(tokens.columns) if not c.startswith("a_")]

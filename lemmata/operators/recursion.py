@@ -41,7 +41,7 @@ def closed(session, group: set[str], makers: list, facts, below: dict) -> dict[s
                 order = ordered(conj)
                 inner = [i for i, c in enumerate(order) if isinstance(c, Cond) and set(below.get(c.type, [c.type])) & group]
                 for chosen in pick(inner):
-                    lower = Lowering(session.spark, lambda type, i, chosen=chosen: view(type, chosen[i]) if i in chosen else facts(type))
+                    lower = Lowering(session.spark, lambda type, i, chosen=chosen: view(type, chosen[i]) if i in chosen else facts(type), strict=session.strict)
                     tokens = lower.conjunction(order)
                     out[t.type] = union(out.get(t.type), inserted(tokens, t, [c for c, _ in cols], dict(cols)))
         return out

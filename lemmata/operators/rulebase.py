@@ -21,9 +21,11 @@ def schema_of(t: FactType) -> T.StructType:
 class Rulebase:
     """Types and productions. Identical productions count once; two different
     ones of a name are an error. Rules fire in the order given, higher salience
-    first; ``group_of`` and ``group_key`` change the grouping and its order."""
+    first; ``group_of`` and ``group_key`` change the grouping and its order.
+    ``identity`` gives every fact an id, the field ``__fid``, by which equal facts
+    can be told apart, and has the agenda loop keep it."""
 
-    def __init__(self, types: Iterable[FactType], productions: Iterable, group_of: Callable[[Rule], object] | None = None, group_key: Callable[[object], object] | None = None):
+    def __init__(self, types: Iterable[FactType], productions: Iterable, group_of: Callable[[Rule], object] | None = None, group_key: Callable[[object], object] | None = None, identity: bool = False):
         self.types = {t.name: t for t in types}
         self.rules: list[Rule] = []
         self.queries: dict[str, Query] = {}
@@ -47,7 +49,14 @@ class Rulebase:
                 self.rules.append(p)
         self.group_of = group_of or (lambda r: r.salience)
         self.group_key = group_key or (lambda g: -g)
-        self.mode = mode(self.rules, self.types)
+        self.identity = identity
+        self.mode = "agenda" if identity else mode(self.rules, self.types)
+
+    def plus(self, other: Rulebase) -> Rulebase:
+        """Both rulebases' types and productions, these first."""
+        types = self.types | {n: t for n, t in other.types.items() if n not in self.types}
+        every = (*self.rules, *self.queries.values(), *other.rules, *other.queries.values())
+        return Rulebase(types.values(), every, self.group_of, self.group_key, self.identity or other.identity)
 
     def _known(self, name: str, where: str) -> None:
         if name not in self.types and not any(name in t.parents for t in self.types.values()):

@@ -4,6 +4,9 @@ Inserting and retracting return a new session and change nothing until it is
 fired. Firing evaluates by the rulebase's mode: one lazy plan for acyclic rules
 with logical insertions only, in which recomputing is truth maintenance; a
 semi-naive loop for monotone recursion; an agenda loop for everything else.
+
+Within one plan a derived type that at least ``shared`` conditions read is
+stored once, so that chains of such types do not multiply their work.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..plans.lower import FID, Lowering, inserted
 from ..plans.model import Query, RuleError
-from ..plans.stratify import descendants, strata
+from ..plans.stratify import descendants, read_types, strata
 from .agenda import Agenda, State
 from .recursion import closed
 from .rulebase import Rulebase, schema_of
@@ -32,6 +35,8 @@ class Session:
     serial: int = 0
     max_cycles: int = 600
     listeners: tuple = ()
+    strict: bool = False
+    shared: int = 4
     cache: dict = field(default_factory=dict, compare=False, repr=False)
 
     # facts in and out
@@ -55,6 +60,14 @@ class Session:
     def empty(self, type: str) -> DataFrame:
         return self.spark.createDataFrame([], schema_of(self.rulebase.types[type]))
 
+    def with_listener(self, listener) -> Session:
+        """``listener(event, rule, what)`` is called as rules fire; events come
+        from the agenda loop only, as lazy plans have none."""
+        return replace(self, listeners=(*self.listeners, listener))
+
+    def without_listener(self, listener) -> Session:
+        return replace(self, listeners=tuple(x for x in self.listeners if x is not listener))
+
     # firing
 
     def fire(self, cancelling: bool = False) -> Session:
@@ -68,7 +81,7 @@ class Session:
         for kind, type, facts in ops:
             serial += 1
             if ids and kind == "insert":
-                facts = stored(facts.withColumn(FID, F.monotonically_increasing_id() + F.lit(serial << 44)))
+                facts = stored(facts.withColumn(FID, F.xxhash64(F.lit(serial), F.monotonically_increasing_id())))
             have = base.get(type)
             if kind == "insert":
                 base[type] = facts if have is None else have.unionByName(facts)
@@ -83,7 +96,7 @@ class Session:
         out = replace(self, base=base, pending=(), serial=serial, cache={})
         if not ids:
             return out
-        agenda = Agenda(self.rulebase, self.spark, base, state, self.max_cycles, self.listeners)
+        agenda = Agenda(self.rulebase, self.spark, base, state, self.max_cycles, self.listeners, self.strict)
         base, state = agenda.run()
         return replace(out, base=base, state=state)
 
@@ -110,7 +123,7 @@ class Session:
                 facts = Agenda(self.rulebase, self.spark, self.base, self.state or State(), self.max_cycles, ()).facts
             else:
                 facts = self._derived()
-            self.cache[key] = Lowering(self.spark, lambda t, i: facts(t), lineage)
+            self.cache[key] = Lowering(self.spark, lambda t, i: facts(t), lineage, self.strict)
         return self.cache[key]
 
     def _derived(self):
@@ -143,7 +156,7 @@ class Session:
                         if t in below.get(a, [a]):
                             del memo[a]
                 continue
-            lower = Lowering(self.spark, lambda t, i: facts(t))
+            lower = Lowering(self.spark, lambda t, i: facts(t), strict=self.strict)
             parts: dict[str, list] = {}
             for r, t in makers:
                 cols = self.rulebase.columns(t.type)
@@ -153,13 +166,18 @@ class Session:
                 out = frames[0]
                 for f in frames[1:]:
                     out = out.unionByName(f)
-                derived[t] = out
+                derived[t] = stored(out) if self._readers(t, below) >= self.shared else out
                 for a in list(memo):
                     if t in below.get(a, [a]):
                         del memo[a]
         self.cache["derived"] = facts
         return facts
 
+    def _readers(self, type: str, below: dict) -> int:
+        """Conditions of rules and queries that read facts of a type."""
+        every = (*self.rulebase.rules, *self.rulebase.queries.values())
+        return sum(type in below.get(t, [t]) for p in every for c in p.when for t, _ in read_types(c))
+
     def facts(self, type: str) -> DataFrame:
         """All facts of a type and of those below it after the last firing."""
         df = self.lowering().facts(type, 0)

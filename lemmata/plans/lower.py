@@ -25,8 +25,8 @@ class Lowering:
     """Lowers conditions against the facts of one moment. Prefixes that several
     productions share are lowered once, as the same DataFrame."""
 
-    def __init__(self, spark: SparkSession, facts: Facts, lineage: bool = False):
-        self.spark, self.facts, self.lineage = spark, facts, lineage
+    def __init__(self, spark: SparkSession, facts: Facts, lineage: bool = False, strict: bool = False):
+        self.spark, self.facts, self.lineage, self.strict = spark, facts, lineage, strict
         self.known: dict[tuple, DataFrame] = {}
         self.serial = 0
 
@@ -59,7 +59,7 @@ class Lowering:
         if isinstance(c, Test):
             base = self.unit() if tokens is None else tokens
             for e in c.exprs:
-                base = base.where(e.column(_on_tokens()))
+                base = base.where(e.column(_on_tokens("a test" if self.strict else None)))
             return base
         if isinstance(c, Acc):
             return self.accumulate(tokens, c, i)
@@ -82,6 +82,8 @@ class Lowering:
         def field(name: str) -> Column:
             if name in argument:
                 return argument[name].column(Scope(lambda n: F.col(f"`{n}`"), _none, lambda: fact()))
+            if name == FID and FID in facts.columns:
+                return F.col(FID)
             if name not in names:
                 raise RuleError(f"{c.type} has no field {name}")
             return F.col(f"`{name}`")
@@ -89,7 +91,7 @@ class Lowering:
         def fact() -> Column:
             return F.struct(*(F.col(f"`{n}`") for n in names))
 
-        scope = Scope(field, lambda n: local[n], fact)
+        scope = Scope(field, lambda n: local[n], fact, f"a condition on {c.type}" if self.strict else None)
         if c.bind:
             local[c.bind] = fact()
         passed = F.lit(True)
@@ -113,7 +115,7 @@ class Lowering:
         """Join keys, join predicate, and columns that the join creates."""
         have = {n[2:] for n in (tokens.columns if tokens is not None else ()) if n.startswith("b_")}
         keys = [n for n in a.binds if n in have]
-        scope = Scope(lambda n: F.col(f"`x_{n}`"), lambda n: made[n] if n in made else F.col(f"`c_{n}`") if n in a.binds and n not in have else F.col(f"`b_{n}`"), lambda: F.col("__this"))
+        scope = Scope(lambda n: F.col(f"`x_{n}`"), lambda n: made[n] if n in made else F.col(f"`c_{n}`") if n in a.binds and n not in have else F.col(f"`b_{n}`"), lambda: F.col("__this"), "a join filter" if self.strict else None)
         made: dict[str, Column] = {}
         on = None
         for n in keys:
@@ -275,8 +277,8 @@ def _none(name: str) -> Column:
     raise RuleError(f"unbound variable ?{name}")
 
 
-def _on_tokens() -> Scope:
-    return Scope(_none, lambda n: F.col(f"`b_{n}`"))
+def _on_tokens(strict: str | None = None) -> Scope:
+    return Scope(_none, lambda n: F.col(f"`b_{n}`"), None, strict)
 
 
 def _attach(base: DataFrame, found: DataFrame, vars_: list[str]) -> DataFrame:

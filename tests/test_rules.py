@@ -271,3 +271,45 @@ def test_productions_are_data(spark):
     again = from_dict(to_dict(r))
     assert to_dict(again) == to_dict(r)
     assert again.salience == 3 and lit(1).same(lit(1))
+
+
+def test_identity_tells_equal_facts_apart(spark):
+    from lemmata import Rulebase, Session
+    from weather import TYPES
+
+    q = query("q", [cond("Cold", eq(v("x"), f("__fid")), eq(v("t"), f("temperature"))), cond("Cold", f("__fid") > v("x"), eq(v("t"), f("temperature")))])
+    s = Session(Rulebase(TYPES, [q], identity=True), spark).insert("Cold", [(1,), (1,), (2,)]).fire()
+    assert [r["t"] for r in s.query("q").collect()] == [1]
+
+
+def test_strict_sessions_refuse_null_comparisons(spark):
+    q = query("q", [cond("Cold", f("temperature") < 5, eq(v("t"), f("temperature")))])
+    facts = [(1,), (None,)]
+    assert start(spark, q).insert("Cold", facts).fire().query("q").count() == 1
+    with pytest.raises(Exception, match="a condition on Cold"):
+        start(spark, q, strict=True).insert("Cold", facts).fire().query("q").collect()
+
+
+def test_groups_listeners_and_merged_rulebases(spark):
+    from lemmata import Rulebase, Session
+    from weather import TYPES
+
+    def claim(name, **props):
+        return rule(name, [cond("Hot", eq(v("t"), f("temperature"))), not_(cond("Cold"))], insert("Cold", unconditional=True, temperature=v("t") + len(name)), **props)
+
+    q = query("q", [cond("Cold", eq(v("t"), f("temperature")))])
+    for order, want in ((lambda g: g, 11), (lambda g: -g, 12)):
+        events = []
+        base = Rulebase(TYPES, [claim("a"), claim("bb")], lambda r: len(r.name), order).plus(Rulebase(TYPES, [q]))
+        s = Session(base, spark).with_listener(lambda *e: events.append(e)).insert("Hot", [(10,)]).fire()
+        assert bag(s.query("q")) == rows({"t": want})
+        assert ("fire-activations", "a" if want == 11 else "bb", 1) in events
+    assert s.without_listener(s.listeners[0]).listeners == ()
+
+
+def test_long_chains_stay_small(spark):
+    n = 9
+    types = [FactType(f"L{i}", "x bigint") for i in range(n + 1)]
+    steps = [rule(f"r{i}", [cond(f"L{i}", eq(v("x"), f("x"))), cond(f"L{i}", eq(v("x"), f("x"))), exists(cond(f"L{i}")), exists(cond(f"L{i}", f("x") > 0))], insert(f"L{i + 1}", x=v("x"))) for i in range(n)]
+    s = start(spark, *steps, query("q", [cond(f"L{n}", eq(v("x"), f("x")))]), types=types).insert("L0", [(1,), (2,)]).fire()
+    assert bag(s.query("q")) == rows({"x": 1}, {"x": 2})
