@@ -45,6 +45,8 @@ LENGTH, ANCHOR = 200, 32
 HOT = 5000
 #: Anchors in a range, and records whose windows are told apart at once.
 RANGE, BATCH = 20_000, 4_000
+#: Bytes of a long text whose anchors are found at once.
+PIECE = 1 << 21
 #: Text bytes that a task sorts as one run.
 RUN_BYTES = 8 << 20
 
@@ -93,9 +95,13 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, anchor:
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for at, data, offsets in chunks(b.column(1)):
-            row, h, place, first, last = anchors(data, offsets)
-            packed = place << 16 | (place - first) << 8 | (place - last)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row + at)), pa.array(h), pa.array(packed)], names=["k", "h", "p"])
+            # a long text in pieces that overlap by a window; an anchor may then
+            # come twice, with other windows each time
+            for base in range(0, max(1, len(data)), PIECE) if len(offsets) == 2 else (0,):
+                part = data[base : base + PIECE + LENGTH - 1] if len(offsets) == 2 else data
+                row, h, place, first, last = anchors(part, np.array([0, len(part)]) if len(offsets) == 2 else offsets)
+                packed = (place + base) << 16 | (place - first) << 8 | (place - last)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row + at)), pa.array(h), pa.array(packed)], names=["k", "h", "p"])
 
 
 @trimming

@@ -3,6 +3,7 @@ import random
 import string
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lemmata.llm import near_dups as nd
@@ -109,3 +110,21 @@ def test_repeats_against_brute_force(spark, hot):
     assert sorted((tuple(r)[:5] for r in out), key=str) == repeats_brute(rows)
     assert all(hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"] for r in out)
     assert sd.remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    rng = random.Random(8)
+    batch = pa.RecordBatch.from_arrays([pa.array([7]), pa.array(["".join(rng.choices("ab ", k=5000))])], names=["k", "text"])
+
+    def windows():
+        out = {}
+        for b in sd._find(iter([batch])):
+            for h, p in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                place, first, last = p >> 16, p >> 8 & 255, p & 255
+                for w in range(place - first, place - last + 1):
+                    out.setdefault(w, []).append((h, place))
+        return out
+
+    whole = windows()
+    monkeypatch.setattr(sd, "PIECE", 333)
+    assert windows() == whole and set(whole) == set(range(5000 - sd.LENGTH + 1)) and all(len(x) == 1 for x in whole.values())
