@@ -18,7 +18,7 @@ from ..plans.model import Action, Insert, Rule
 from ..plans.stratify import descendants
 from ..tools.loops import LoopError
 from .rulebase import Rulebase, schema_of
-from .store import same, stored, values, without
+from .store import stored, values, without
 
 TID = "__tid"
 
@@ -168,5 +168,3 @@ class Agenda:
         for listener in self.listeners:
             listener(event, rule, what)
 
-
-__all__ = ["Agenda", "State", "same"]

@@ -12,9 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.expr import Eq, Scope
-from .model import Acc, Bool, Cond, Query, Rule, RuleError, Test
-from .normalize import analyse, conjunctions, created, exported, mentioned, ordered
+from ..functions.expr import Scope
+from .model import Acc, Cond, Query, RuleError, Test
+from .normalize import analyse, conjunctions, exported, mentioned, ordered
 
 FID = "__fid"
 #: facts(type, condition number) -> DataFrame
@@ -288,5 +288,3 @@ def _attach(base: DataFrame, found: DataFrame, vars_: list[str]) -> DataFrame:
         on = k if on is None else on & k
     return base.crossJoin(found) if on is None else base.join(found, on)
 
-
-__all__ = ["FID", "Lowering", "Rule", "Eq", "Bool", "created", "inserted"]

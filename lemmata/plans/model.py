@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 from ..functions.accumulators import Accumulator
 from ..functions.accumulators import from_data as acc_from_data
-from ..functions.expr import Expr, eq, expr, from_data, this, to_data
+from ..functions.expr import Expr, expr, from_data, to_data
 
 
 class RuleError(ValueError):
@@ -228,4 +228,3 @@ def from_dict(d: dict) -> Rule | Query:
     return rule(d["rule"], when, then, salience=d.get("salience", 0), no_loop=d.get("no_loop", False), doc=d.get("doc"))
 
 
-__all__ = ["Acc", "Action", "Bool", "Cond", "FactType", "Insert", "Query", "Retract", "Rule", "RuleError", "Test", "acc", "and_", "cond", "eq", "exists", "from_dict", "insert", "not_", "or_", "query", "retract", "rule", "test", "this", "to_dict"]

@@ -35,7 +35,6 @@ def analyse(c: Cond, where: str = "") -> Analysis:
     needs: set[str] = set()
     if c.bind:
         bound.append(c.bind)
-    names = {n for n, _ in c.args}
     for k in c.constraints:
         if isinstance(k, Eq):
             vars_ = [a for a in k.args if isinstance(a, Var)]
@@ -62,7 +61,6 @@ def analyse(c: Cond, where: str = "") -> Analysis:
                     _place(Eq((first, r)), bound, pending, local, joined, needs)
                 continue
         _place(k, bound, pending, local, joined, needs)
-    del names
     return Analysis(tuple(local), tuple(joined), tuple(bound), frozenset(needs))
 
 
