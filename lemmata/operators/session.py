@@ -70,12 +70,27 @@ class Session:
 
     # firing
 
+    @property
+    def mode(self) -> str:
+        """The rulebase's mode, or ``agenda`` once there is state to keep."""
+        return "agenda" if self.state is not None else self.rulebase.mode
+
+    def _identified(self) -> Session:
+        """The session as the agenda loop keeps it. Retracting facts that rules
+        inserted needs it: a plan would derive them again."""
+        base = {t: stored(df.withColumn(FID, F.xxhash64(F.lit(-1 - i), F.monotonically_increasing_id()))) for i, (t, df) in enumerate(self.base.items())}
+        base, state = Agenda(self.rulebase, self.spark, base, State(), self.max_cycles, self.listeners, self.strict).run()
+        return replace(self, base=base, state=state, cache={})
+
     def fire(self, cancelling: bool = False) -> Session:
         """Applies what is queued, in order, and runs the rules. ``cancelling``
         nets insertions against retractions of equal facts first and then
         inserts before it retracts."""
-        ids = self.rulebase.mode == "agenda"
         ops = self._netted() if cancelling else list(self.pending)
+        made = {t.type for r in self.rulebase.rules for t in r.then if hasattr(t, "type")}
+        if self.mode != "agenda" and any(kind == "retract" and type in made for kind, type, _ in ops):
+            return self._identified().fire(cancelling)
+        ids = self.mode == "agenda"
         base, serial = dict(self.base), self.serial
         state = self.state or State()
         for kind, type, facts in ops:
@@ -119,7 +134,7 @@ class Session:
         """Lowers productions against the facts after the last firing."""
         key = ("lowering", lineage)
         if key not in self.cache:
-            if self.rulebase.mode == "agenda":
+            if self.mode == "agenda":
                 facts = Agenda(self.rulebase, self.spark, self.base, self.state or State(), self.max_cycles, ()).facts
             else:
                 facts = self._derived()

@@ -18,7 +18,7 @@ def _agenda(session: Session) -> Agenda:
 def _with_ids(session: Session) -> Lowering:
     """Lowering with lineage. Where facts have no ids of their own, a hash of
     their values stands for them."""
-    if session.rulebase.mode == "agenda":
+    if session.mode == "agenda":
         return Lowering(session.spark, lambda t, i: _agenda(session).facts(t), True)
     facts = session._derived()
 
@@ -69,7 +69,7 @@ def fact_graph(session: Session) -> DataFrame:
     to the fact that it logically inserted."""
     parts = []
     for r in session.rulebase.rules:
-        if session.rulebase.mode == "agenda":
+        if session.mode == "agenda":
             agenda = _agenda(session)
             tokens = agenda.current(r)
         else:
@@ -99,7 +99,7 @@ def _edges(session: Session, r: Rule, tokens: DataFrame) -> list[DataFrame]:
             continue
         cols = session.rulebase.columns(t.type)
         rows = inserted(tokens, t, [c for c, _ in cols], dict(cols), [TID, "__at"])
-        if session.rulebase.mode == "agenda":
+        if session.mode == "agenda":
             fact = F.xxhash64(F.lit(r.name), TID, F.lit(k), "__at")
         else:
             fact = F.xxhash64(F.lit(t.type), *(F.col(f"`{c}`") for c, _ in cols))

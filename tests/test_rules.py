@@ -313,3 +313,49 @@ def test_long_chains_stay_small(spark):
     steps = [rule(f"r{i}", [cond(f"L{i}", eq(v("x"), f("x"))), cond(f"L{i}", eq(v("x"), f("x"))), exists(cond(f"L{i}")), exists(cond(f"L{i}", f("x") > 0))], insert(f"L{i + 1}", x=v("x"))) for i in range(n)]
     s = start(spark, *steps, query("q", [cond(f"L{n}", eq(v("x"), f("x")))]), types=types).insert("L0", [(1,), (2,)]).fire()
     assert bag(s.query("q")) == rows({"x": 1}, {"x": 2})
+
+
+# choices where the semantics could have gone another way
+
+
+def test_retracted_derived_fact_stays_away_until_its_support_returns(spark):
+    r = rule("cold", [cond("Temperature", eq(v("t"), f("temperature")))], insert("Cold", temperature=v("t")))
+    s = start(spark, r, query("q", [cond("Cold", eq(v("t"), f("temperature")))])).insert("Temperature", [(10, "a"), (10, "b"), (20, "a")]).fire()
+    assert s.mode == "plan"
+    s = s.retract("Cold", [(10,), (99,)]).fire()
+    assert s.mode == "agenda" and bag(s.query("q")) == rows({"t": 10}, {"t": 20})
+    s = s.retract("Cold", [(10,)]).fire().insert("Temperature", [(30, "c")]).fire()
+    assert bag(s.query("q")) == rows({"t": 20}, {"t": 30})
+
+
+def test_negated_groups_are_correlated_inside_a_disjunction(spark):
+    group = not_(and_(cond("Cold", eq(v("c"), f("temperature"))), cond("Temperature", eq(v("c"), f("temperature")), eq(v("l"), f("location")))))
+    q = query("q", [cond("WindSpeed", eq(v("l"), f("location"))), or_(group, cond("Hot", f("temperature") > 100))])
+    s = start(spark, q).insert("WindSpeed", [(1, "a"), (1, "b")]).insert("Cold", [(5,), (6,)]).insert("Temperature", [(5, "a"), (7, "b")]).fire()
+    assert bag(s.query("q")) == rows({"l": "b"})
+
+
+def test_average_is_a_double(spark):
+    s = start(spark, query("q", [acc("x", a.average("temperature"), cond("Cold"))])).insert("Cold", [(1,), (2,)]).fire()
+    assert s.query("q").first()["x"] == 1.5
+
+
+def test_false_is_a_result_and_is_restored(spark):
+    q = query("q", [acc("x", a.accum(False, lambda s, e: s | (e > 5), field="temperature"), cond("Cold"))])
+    s = start(spark, q)
+    assert [r["x"] for r in s.query("q").collect()] == [False]
+    s = s.insert("Cold", [(9,)]).fire()
+    assert [r["x"] for r in s.query("q").collect()] == [True]
+    assert [r["x"] for r in s.retract("Cold", [(9,)]).fire().query("q").collect()] == [False]
+
+
+def test_rule_without_conditions_fires_once(spark):
+    s = start(spark, rule("init", [], insert("Cold", temperature=lit(1))), query("q", [cond("Cold", eq(v("t"), f("temperature")))])).fire().fire()
+    assert bag(s.query("q")) == rows({"t": 1})
+
+
+def test_integers_and_doubles_of_one_value_are_equal(spark):
+    types = [FactType("D", "x double")]
+    q = query("q", [cond("Cold", eq(v("t"), f("temperature"))), cond("D", eq(v("t"), f("x")))])
+    s = start(spark, q, types=types).insert("Cold", [(1,)]).insert("D", [(1.0,)]).fire()
+    assert s.query("q").count() == 1
