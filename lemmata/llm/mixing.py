@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import SPACES, table, written
 
-#: Documents in a slice of a source, about.
-SLICE_ROWS = 20_000
+#: Documents in a slice of a source, about, and slices of a source at most.
+SLICE_ROWS, MAX_SLICES = 500, 65_536
 #: The driver computes targets for so many sources at most.
 MAX_SOURCES = 100_000
 #: Weight schedules as (time, weight) knots, dealt to sources in turn: one that
@@ -103,7 +103,7 @@ def with_shares(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, max_epoc
     want = targets([(r["source"], r["n"]) for r in sources], weights, share, max_epochs)
     order = sorted(sources, key=lambda r: (r["source"] is None, r["source"] or ""))
     plan = spark.createDataFrame(
-        [(r["source"], r["n"], want[r["source"]], max(1, r["rows"] // SLICE_ROWS), integrated(curriculum[i % len(curriculum)])) for i, r in enumerate(order)],
+        [(r["source"], r["n"], want[r["source"]], min(MAX_SLICES, max(1, r["rows"] // SLICE_ROWS)), integrated(curriculum[i % len(curriculum)])) for i, r in enumerate(order)],
         "source string, source_size long, target double, slices long, knots array<struct<t: double, w: double, a: double>>",
     ).withColumnRenamed("source", "_source")
     # at most MAX_SOURCES rows of a few hundred bytes

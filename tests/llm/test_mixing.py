@@ -29,7 +29,7 @@ def test_due_inverts_the_schedule(spark):
             assert area == pytest.approx(r["x"], abs=1e-9)
 
 
-@pytest.mark.parametrize("slice_rows", [3, 20_000])
+@pytest.mark.parametrize("slice_rows", [3, 500])
 def test_shares(spark, monkeypatch, slice_rows):
     monkeypatch.setattr(mixing, "SLICE_ROWS", slice_rows)
     rows = [(i, "w " * (i % 17), "s" + str(i % 3), "x") for i in range(200)] + [(500, None, None, "x"), (501, "a b", None, "x"), (501, "a b", None, "x"), (None, "q", "s0", "x"), (502, "z" * 9, "empty", "y")]
