@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import released, table, trimming, written
+from .common import mix64, released, table, trimming, written
 from .losertree import decoded, front_coded, merged
 from .textbytes import chunks, powers, prefix_hashes, span_hashes
 
@@ -88,7 +88,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, anchor:
     last = np.append(first[1:], len(inside)) - 1
     row, place = row[first], place[first]
     base = offsets[:-1][row]
-    return row, h[place].view(np.int64), place - base, inside[first] - base, inside[last] - base
+    # an anchor's hash is the least of many; mixed again it is even over the ranges
+    return row, mix64(h[place]).view(np.int64), place - base, inside[first] - base, inside[last] - base
 
 
 @trimming
