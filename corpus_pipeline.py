@@ -18,13 +18,13 @@ from lemmata.llm.labelled import fold
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line classifier rejects go."""
     field = quality_crf.fitted(docs, table(spark, sf_dir, "labels"), lambda d: fold(d, 5) != 0)
-    return quality_crf.classify(docs, field).where(F.col("score") >= 0.3).select(*docs.columns)
+    return quality_crf.classify(docs, field, "__quality").where(F.col("__quality") >= 0.3).select(*docs.columns)
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document of smallest id stays."""
-    keep = near_dups.near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(keep, docs["doc_id"] == keep["_id"], "left_semi").dropDuplicates(["doc_id"])
+    keep = near_dups.near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct()
+    kept = docs.join(keep, docs["doc_id"] == keep["__id"], "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id is null"))
 
 
@@ -36,14 +36,14 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each reading of a document that the mix takes, in training
     order; a reading that the target ends in has its first words only."""
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "source", "text"))
-    mixed = mixing.with_shares(keyed).where("taken > 0").groupBy("_row").agg(F.flatten(F.collect_list("readings")).alias("readings"))
-    once = keyed.dropDuplicates(["_row"])
-    rows = once.join(mixed, "_row").select(*docs.columns, F.explode("readings").alias("_r"))
+    keyed = docs.withColumn("__row", F.xxhash64("doc_id", "source", "text"))
+    mixed = mixing.with_shares(keyed).where("taken > 0").groupBy("__row").agg(F.flatten(F.collect_list("readings")).alias("__readings"))
+    once = keyed.dropDuplicates(["__row"])
+    rows = once.join(mixed, "__row").select(*docs.columns, F.explode("__readings").alias("__r"))
     words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    cut = F.when(F.col("_r.words") < mixing.size(F.col("text")), F.concat_ws(" ", F.slice(words, 1, F.col("_r.words").cast("int")))).otherwise(F.col("text"))
+    cut = F.when(F.col("__r.words") < mixing.size(F.col("text")), F.concat_ws(" ", F.slice(words, 1, F.col("__r.words").cast("int")))).otherwise(F.col("text"))
     out = rows.withColumn("text", cut).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.orderBy(F.col("_r.position"), "doc_id").select(*docs.columns)
+    return out.orderBy(F.col("__r.position"), "doc_id").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

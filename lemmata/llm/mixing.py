@@ -91,12 +91,13 @@ def integrated(schedule) -> list[tuple[float, float, float]]:
 
 
 def with_shares(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, max_epochs: float = 2.0, curriculum=CURRICULUM) -> DataFrame:
-    """``docs`` with ``size``, ``source_size``, ``target``, ``start`` (words of
+    """For every row its ``doc_id``, ``source``, ``size``, ``source_size``, ``target``, ``start`` (words of
     its source before it), ``taken`` and, for each reading of the stream that
-    takes words of it, an element (words, position) of ``readings``."""
+    takes words of it, an element (words, position) of ``readings``. ``__row``
+    names the row: a column of that name if ``docs`` has one."""
     spark = docs.sparkSession
     rows = docs.withColumn("size", size(F.col("text"))).withColumn("_key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    lean = written(rows.select("doc_id", "source", "size", "_key", *([F.monotonically_increasing_id().alias("_row")] if "_row" not in docs.columns else ["_row"])), "sizes")
+    lean = written(rows.select("doc_id", "source", "size", "_key", *([F.monotonically_increasing_id().alias("__row")] if "__row" not in docs.columns else ["__row"])), "sizes")
     sources = lean.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).limit(MAX_SOURCES + 1).collect()
     if len(sources) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -112,7 +113,7 @@ def with_shares(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, max_epoc
     sums = lean.groupBy("source", "_slice").agg(F.sum("size").alias("_n"))
     before = Window.partitionBy("source").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("_s"), F.col("_slice").alias("_k"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    within = Window.partitionBy("source", "_slice").orderBy("_key", "size", "_row").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "_slice").orderBy("_key", "size", "__row").rowsBetween(Window.unboundedPreceding, -1)
     placed = lean.withColumn("_in", F.coalesce(F.sum("size").over(within), F.lit(0))).join(
         sums, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_slice") == F.col("_k"))
     )
@@ -129,7 +130,7 @@ def with_shares(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, max_epoc
     )
     return placed.withColumn("readings", readings).withColumn(
         "taken", F.aggregate("readings", F.lit(0).cast("long"), lambda a, x: a + x["words"])
-    ).select("_row", "doc_id", "source", "size", "source_size", "target", "start", "taken", "readings")
+    ).select("__row", "doc_id", "source", "size", "source_size", "target", "start", "taken", "readings")
 
 
 def in_training_order(mixed: DataFrame) -> DataFrame:

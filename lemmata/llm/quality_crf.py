@@ -187,16 +187,18 @@ def fitted(docs: DataFrame, labels: DataFrame, keep, rows: int = TRAIN_ROWS) ->
     return fit(x, np.concatenate(size), np.array([len(s) for s in size]), np.array([r["y"] for r in found]))
 
 
-def classify(docs: DataFrame, field: Field) -> DataFrame:
-    """``docs`` with ``score``, the probability that quality is 1."""
+def classify(docs: DataFrame, field: Field, column: str = "score") -> DataFrame:
+    """``docs`` with ``column``, the probability that quality is 1; a column of
+    that name is replaced."""
+    docs = docs.drop(column)
     shared = docs.sparkSession.sparkContext.broadcast(field)  # a few hundred floats
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores(shared.value, b.column(at)))], names=[*b.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores(shared.value, b.column(at)))], names=[*b.schema.names, column])
 
-    return docs.mapInArrow(run, docs.select("*", F.lit(0.0).alias("score")).schema)
+    return docs.mapInArrow(run, docs.select("*", F.lit(0.0).alias(column)).schema)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

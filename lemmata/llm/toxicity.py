@@ -164,8 +164,10 @@ def _phrases(found: DataFrame, lexicon: Lexicon, least: int = 5) -> tuple[str, .
     return tuple(r["phrase"] for r in counted.where((F.col("p") == 0) & (F.col("n") >= least)).orderBy(F.desc("n"), "phrase").limit(MAX_ENTRIES).collect())
 
 
-def score_toxicity(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """``docs`` with ``score``, the probability that toxic is 1."""
+def score_toxicity(docs: DataFrame, lexicon: Lexicon, column: str = "score") -> DataFrame:
+    """``docs`` with ``column``, the probability that toxic is 1; a column of that
+    name is replaced."""
+    docs = docs.drop(column)
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # MAX_ENTRIES entries and phrases each
     at = docs.columns.index("text")
 
@@ -174,9 +176,9 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
         for b in batches:
             e = np.array([evidence(folded(t), a) for t in b.column(at).to_pylist()]).reshape(-1, 4)
             s = 1 / (1 + np.exp(-np.clip(e @ curve[:-1] + curve[-1], -30, 30)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s)], names=[*b.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s)], names=[*b.schema.names, column])
 
-    return docs.mapInArrow(run, docs.select("*", F.lit(0.0).alias("score")).schema)
+    return docs.mapInArrow(run, docs.select("*", F.lit(0.0).alias(column)).schema)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,7 +62,7 @@ def test_held_out_accuracy(spark):
 
 
 def test_edges_of_both(spark):
-    schema = "doc_id long, text string, score2 int"
+    schema = "doc_id long, text string, score int"
     rows = [(1, None, 1), (2, "", 1), (3, "idiot", 1), (3, "idiot", 1), (None, "x y", 1)]
     docs = spark.createDataFrame(rows, schema)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")

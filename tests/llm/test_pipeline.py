@@ -25,3 +25,18 @@ def test_each_stage_takes_effect(spark):
     whole = rows.select(corpus_pipeline.mixing.size(rows["text"]).alias("n")).groupBy().sum("n").first()[0]
     assert abs(words - 1.5 * whole) < 40 and mixed.columns == docs.columns
     assert corpus_pipeline.run(spark, DATA).where("length <> size(ids)").count() == 0
+
+
+def test_clashing_and_extra_columns(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(60)
+    names = ["score", "size", "_id", "_row", "_r", "id", "k", "n", "position", "readings", "target"]
+    rows = docs.select("*", *(F.lit(i).alias(n) for i, n in enumerate(names)))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        rows = stage(spark, rows, DATA)
+        assert rows.columns == [*docs.columns, *names] and rows.count() > 0
+    assert rows.select("score", "_row").distinct().collect() == [(0, 3)]
+    empty = spark.createDataFrame([], docs.schema)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, DATA).count() == 0
