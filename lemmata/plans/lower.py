@@ -193,7 +193,7 @@ class Lowering:
             return base.join(cand, on, "left_semi")
         if not a.joined:
             few = cand.select(*(F.col(f"`c_{n}`") for n in (*keys, *new))).distinct()
-            joined = base.crossJoin(few) if on is None else base.join(few, on)
+            joined = few if tokens is None else base.crossJoin(few) if on is None else base.join(few, on)
             return joined.select(*(F.col(f"`{n}`") for n in base.columns), *(F.col(f"`c_{n}`").alias(f"b_{n}") for n in new))
         vars_ = [n for n in base.columns if n.startswith("b_")]
         pairs = base.select(*(F.col(f"`{n}`") for n in vars_)).distinct().join(cand, on if on is not None else F.lit(True))
@@ -219,7 +219,9 @@ class Lowering:
                 groups = cand.groupBy(*(F.col(f"`c_{n}`") for n in (*keys, *new))).agg(value, *used)
             else:
                 groups = cand.agg(value, *used)
-            if on is None:
+            if tokens is None:
+                joined = groups
+            elif on is None:
                 joined = base.crossJoin(groups)
             else:
                 joined = base.join(groups, on, "left" if outer else "inner")
