@@ -50,7 +50,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of training sequences, with their token ids."""
     import public_tokenizers
 
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), group_tokens=2_000_000, cached_words=250_000)
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), group_tokens=2_000_000, cached_words=120_000)
 
 
 STAGES = [("quality", quality), ("near_dups", dedup), ("secrets", redact), ("mixing", mix), ("packing", pack)]

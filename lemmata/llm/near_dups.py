@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, table, written
+from .common import mix64, table, trimming, written
 from .components import Forest, components
 from .textbytes import LOWER_VALUES, chunks, prefix_hashes, span_hashes, words
 
@@ -119,6 +119,7 @@ def _binaries(x: np.ndarray) -> pa.Array:
     return pa.array([r.tobytes() for r in x], pa.binary())
 
 
+@trimming
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for at, data, offsets in chunks(b.column(1)):
@@ -128,6 +129,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(count)), pa.array(count), pa.array(prints[:, 0]), pa.array(prints[:, 1]), keys, _binaries(sig)], names=["doc_id", "n", "f1", "f2", "keys", "sig"])
 
 
+@trimming
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Full sets, of rows whose fingerprint is the expected one."""
     for b in batches:
@@ -144,6 +146,7 @@ def linked(common, n, m, percent: int = PERCENT):
 
 
 def _verify(percent: int):
+    @trimming
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()  # a task sends on a spanning forest of its links
         for b in batches:
@@ -159,6 +162,7 @@ def _verify(percent: int):
     return run
 
 
+@trimming
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of rows that lie close in the order of a crowded region."""
     recent: list[tuple] = []
@@ -196,6 +200,7 @@ def common_counts(x: list[np.ndarray], y: list[np.ndarray], slab: int = 4096) ->
 def _blocks(percent: int):
     """Links between components within a block of a crowded region."""
 
+    @trimming
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()
         for b in batches:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import table, trimming
 
 CAPACITY, END = 4096, 2
 GROUP_TOKENS = 4_000_000
@@ -181,6 +181,7 @@ def pack_documents(docs: DataFrame, path: str, with_ids: bool = True, group_toke
                 names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "cost", "ids"],
             )
 
+    @trimming
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer(path, cached_words).encode
         serial = TaskContext.get().partitionId() << 33

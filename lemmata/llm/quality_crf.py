@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, trimming
 from .labelled import fold, logistic, sample
 from .textbytes import LOWER_VALUES, chunks, prefix_hashes, span_hashes, words
 
@@ -169,6 +169,7 @@ def scores(field: Field, texts: pa.Array) -> np.ndarray:
 def fitted(docs: DataFrame, labels: DataFrame, keep, rows: int = TRAIN_ROWS) -> Field:
     """The field from at most ``rows`` labelled rows that ``keep`` allows."""
 
+    @trimming
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at, data, offsets in chunks(b.column(0)):
@@ -194,6 +195,7 @@ def classify(docs: DataFrame, field: Field, column: str = "score") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(field)  # a few hundred floats
     at = docs.columns.index("text")
 
+    @trimming
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores(shared.value, b.column(at)))], names=[*b.schema.names, column])

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_sample, table
+from .common import hash_sample, table, trimming
 
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -125,6 +125,7 @@ def scan_secrets(docs: DataFrame, model: np.ndarray | None = None) -> DataFrame:
     model = fitted(docs) if model is None else model
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 67**3 floats
 
+    @trimming
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
@@ -159,6 +160,7 @@ def redact_secrets(docs: DataFrame, model: np.ndarray | None = None) -> DataFram
     at, schema = docs.columns.index("text"), docs.schema
     n_at = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
+    @trimming
     def redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [t if t is None else redacted(t, all_spans(t, base_spans(t), shared.value)) for t in b.column(at).to_pylist()]

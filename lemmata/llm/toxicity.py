@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, trimming
 from .labelled import fold, logistic, sample
 
 TRAIN_ROWS, MAX_ENTRIES = 20_000, 2000
@@ -104,6 +104,7 @@ def evidence(text: str, automaton) -> tuple[float, float, float, float]:
     return total / (1 + math.log1p(n)), min(total / n * 10, 5), max(best.values(), default=0.0), math.log1p(n)
 
 
+@trimming
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -171,6 +172,7 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, column: str = "score") ->
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # MAX_ENTRIES entries and phrases each
     at = docs.columns.index("text")
 
+    @trimming
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, curve = shared.value.automaton(), np.array(shared.value.curve)
         for b in batches:

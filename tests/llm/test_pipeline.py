@@ -40,3 +40,35 @@ def test_clashing_and_extra_columns(spark):
     empty = spark.createDataFrame([], docs.schema)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, DATA).count() == 0
+
+
+def test_stages_against_plain_versions(spark):
+    """Each stage against the same decision made row by row on the driver."""
+    import pyarrow as pa
+    from test_dedup import brute
+
+    from lemmata.llm import quality_crf, secrets
+    from lemmata.llm.labelled import fold
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    rows = docs.orderBy("doc_id").collect()
+    field = quality_crf.fitted(docs, spark.read.parquet(f"{DATA}/labels.parquet"), lambda d: fold(d, 5) != 0)
+    scores = quality_crf.scores(field, pa.array([r["text"] for r in rows]))
+    good = {r["doc_id"] for r in corpus_pipeline.quality(spark, docs, DATA).collect()}
+    assert good == {r["doc_id"] for r, s in zip(rows, scores, strict=True) if s >= 0.3}
+    kept = {r["doc_id"] for r in corpus_pipeline.dedup(spark, docs, DATA).collect()}
+    assert kept == {i for i, _, _, k in brute([(r["doc_id"], r["text"]) for r in rows]) if k}
+    model = secrets.fitted(docs)
+    clean = {r["doc_id"]: r for r in corpus_pipeline.redact(spark, docs, DATA).collect()}
+    for r in rows:
+        want = secrets.redacted(r["text"], secrets.all_spans(r["text"], secrets.base_spans(r["text"]), model))
+        assert clean[r["doc_id"]]["text"] == want and clean[r["doc_id"]]["n_chars"] == len(want)
+    mixed = corpus_pipeline.mix(spark, docs, DATA).collect()
+    times = {}
+    for r in mixed:
+        times.setdefault(r["doc_id"], []).append(r["text"])
+    shares = {r["doc_id"]: r for r in corpus_pipeline.mixing.with_shares(docs).collect()}
+    for r in rows:
+        words = sum(len(t.split()) for t in times.get(r["doc_id"], []))
+        assert words == shares[r["doc_id"]]["taken"]
+        assert all(t == r["text"] or r["text"].split()[: len(t.split())] == t.split() for t in times.get(r["doc_id"], []))
