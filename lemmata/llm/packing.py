@@ -32,7 +32,7 @@ GROUP_TOKENS = 4_000_000
 #: Cost of a token, and of a pair of tokens that attend to each other.
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 #: Words whose ids a Python worker remembers.
-CACHED_WORDS = 1_500_000
+CACHED_WORDS = 2_500_000
 
 
 def cost(n: int) -> float:
