@@ -63,7 +63,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     total = h * _PLACES[0]
     short = np.zeros(n, bool)
     first = np.concatenate([[0], np.cumsum(count)[:-1]])
-    for k in range(1, WORDS):
+    for k in range(1, min(WORDS, n)):
         total[: n - k] += h[k:] * _PLACES[k]
     whole = np.arange(n) + WORDS <= (first + count)[row]
     brief = np.flatnonzero((count > 0) & (count < WORDS))

@@ -57,6 +57,15 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, region):
     assert nd.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+@pytest.mark.parametrize("text", ["one", "one two", "one two three", "one two three four"])
+def test_few_words_alone_in_a_chunk(spark, text):
+    rows = [(1, text)]
+    assert sorted(map(tuple, nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == brute(rows)
+    rows = [(1, text), (2, "a b c d e f g"), (3, text.upper())]  # a partition of each
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 3), "doc_id long, text string")
+    assert sorted(map(tuple, nd.near_duplicates(docs).collect())) == brute(rows)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (102, 101), (7, 7)]
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
