@@ -4,7 +4,7 @@ A document's set is its distinct shingles of five words. Documents of equal
 sets are one class, and classes are linked if the Jaccard similarity of their
 sets reaches ``percent``; links are confirmed on the full sets.
 
-Candidates come from ``TREES`` trees, each an order of the classes by its own
+Candidates come from trees, each an order of the classes by its own
 part of the signature. Classes with ``DEPTH`` values in common form a region.
 In a region of ``REGION`` classes at most all are compared. A larger one is
 sorted by its tree's whole order, and each class is compared with the ones
@@ -12,8 +12,9 @@ before it, those with the longest common prefix: the depth follows how crowded
 the region is. What crowded regions leave in different components is then
 compared in full, block by block: every class outside a region's largest
 component with every class of the region. So no candidate is lost to the limit
-on neighbours; what remains is the forest's own miss, about 1e-5 for a pair at
-the threshold.
+on neighbours; what remains is the forest's own miss, ``MISS`` at most for a
+pair at the threshold: the number of trees follows from ``percent``, 20 at 85
+and 29 at 80.
 
 Shingles are compared by 64-bit hashes.
 
@@ -25,7 +26,9 @@ an empty table gives an empty result. ``doc_id`` is an integer.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +40,9 @@ from .components import Forest, components
 from .textbytes import LOWER_VALUES, chunks, prefix_hashes, span_hashes, words
 
 WORDS, PERCENT = 5, 85
-TREES, DEPTH, DEEPEST = 20, 5, 8
-SIGNATURE = TREES * DEEPEST
+DEPTH, DEEPEST = 5, 8
+#: Probability that no tree has a pair at the threshold in one region.
+MISS = 1e-5
 REGION, NEIGHBOURS = 32, 3
 #: Estimated similarity below which a neighbour in a crowded region is no candidate yet.
 LIKELY = 0.7
@@ -46,8 +50,18 @@ LIKELY = 0.7
 ASKING, ASKED = 128, 512
 _PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
-#: For each value of a signature, where an empty one is taken from, in turn.
-_PROBES = (mix64(np.arange(1, 64 * SIGNATURE + 1, dtype=np.uint64)) % np.uint64(SIGNATURE)).astype(int).reshape(64, SIGNATURE)
+
+
+def forest_size(percent: int) -> int:
+    """Trees that keep the miss of a pair at the threshold within ``MISS``."""
+    return math.ceil(math.log(MISS) / math.log1p(-((min(percent, 99) / 100) ** DEPTH)))
+
+
+@lru_cache(4)
+def _probes(size: int) -> np.ndarray:
+    """For each value of a signature, where an empty one is taken from, in turn."""
+    rounds = 2 * size // 5
+    return (mix64(np.arange(1, rounds * size + 1, dtype=np.uint64)) % np.uint64(size)).astype(int).reshape(rounds, size)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,16 +94,17 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return values[fresh], np.bincount(row[fresh], minlength=rows)
 
 
-def signatures(values: np.ndarray, count: np.ndarray) -> np.ndarray:
+def signatures(values: np.ndarray, count: np.ndarray, trees: int) -> np.ndarray:
     """16-bit signatures by one permutation: the least value of each bin, an
     empty bin taking that of another by a fixed order of probes."""
+    size = trees * DEEPEST
     row = np.repeat(np.arange(len(count)), count)
-    least = np.full(len(count) * SIGNATURE, _EMPTY)
-    np.minimum.at(least, row * SIGNATURE + (values % np.uint64(SIGNATURE)).astype(np.int64), values // np.uint64(SIGNATURE))
-    least = least.reshape(len(count), SIGNATURE)
+    least = np.full(len(count) * size, _EMPTY)
+    np.minimum.at(least, row * size + (values % np.uint64(size)).astype(np.int64), values // np.uint64(size))
+    least = least.reshape(len(count), size)
     empty = least == _EMPTY
     out, todo = least.copy(), empty & (count > 0)[:, None]
-    for probe in _PROBES:
+    for probe in _probes(size):
         if not todo.any():
             break
         r, c = np.nonzero(todo)
@@ -111,22 +126,26 @@ def _fingerprints(values: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 def _region_keys(sig: np.ndarray) -> np.ndarray:
-    part = sig.reshape(len(sig), TREES, DEEPEST)[:, :, :DEPTH].astype(np.uint64)
-    return mix64((part * _PLACES[:DEPTH]).sum(2, dtype=np.uint64) + mix64(np.arange(1, TREES + 1, dtype=np.uint64))).view(np.int64)
+    trees = sig.shape[1] // DEEPEST
+    part = sig.reshape(len(sig), trees, DEEPEST)[:, :, :DEPTH].astype(np.uint64)
+    return mix64((part * _PLACES[:DEPTH]).sum(2, dtype=np.uint64) + mix64(np.arange(1, trees + 1, dtype=np.uint64))).view(np.int64)
 
 
 def _binaries(x: np.ndarray) -> pa.Array:
     return pa.array([r.tobytes() for r in x], pa.binary())
 
 
-@trimming
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for at, data, offsets in chunks(b.column(1)):
-            values, count = shingle_sets(data, offsets)
-            sig, prints = signatures(values, count), _fingerprints(values, count)
-            keys = pa.ListArray.from_arrays(pa.array(np.arange(0, TREES * len(count) + 1, TREES), pa.int32()), pa.array(_region_keys(sig).ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(count)), pa.array(count), pa.array(prints[:, 0]), pa.array(prints[:, 1]), keys, _binaries(sig)], names=["doc_id", "n", "f1", "f2", "keys", "sig"])
+def _sketch(trees: int):
+    @trimming
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at, data, offsets in chunks(b.column(1)):
+                values, count = shingle_sets(data, offsets)
+                sig, prints = signatures(values, count, trees), _fingerprints(values, count)
+                keys = pa.ListArray.from_arrays(pa.array(np.arange(0, trees * len(count) + 1, trees), pa.int32()), pa.array(_region_keys(sig).ravel()))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(count)), pa.array(count), pa.array(prints[:, 0]), pa.array(prints[:, 1]), keys, _binaries(sig)], names=["doc_id", "n", "f1", "f2", "keys", "sig"])
+
+    return run
 
 
 @trimming
@@ -162,19 +181,23 @@ def _verify(percent: int):
     return run
 
 
-@trimming
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _neighbours(percent: int):
     """Pairs of rows that lie close in the order of a crowded region."""
-    recent: list[tuple] = []
-    for b in batches:
-        out = []
-        for key, i, n, sig in zip(*(b.column(c).to_pylist() for c in range(3)), b.column(3), strict=True):
-            sig = np.frombuffer(sig.as_py(), np.uint16)
-            for k, j, m, s in recent:
-                if k == key and i != j and 100 * min(n, m) >= PERCENT * max(n, m) and (sig == s).mean() >= LIKELY:
-                    out.append((min(i, j), max(i, j)))
-            recent = [*recent[1 - NEIGHBOURS :], (key, i, n, sig)]
-        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    @trimming
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        recent: list[tuple] = []
+        for b in batches:
+            out = []
+            for key, i, n, sig in zip(*(b.column(c).to_pylist() for c in range(3)), b.column(3), strict=True):
+                sig = np.frombuffer(sig.as_py(), np.uint16)
+                for k, j, m, s in recent:
+                    if k == key and i != j and 100 * min(n, m) >= percent * max(n, m) and (sig == s).mean() >= LIKELY:
+                        out.append((min(i, j), max(i, j)))
+                recent = [*recent[1 - NEIGHBOURS :], (key, i, n, sig)]
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return run
 
 
 def common_counts(x: list[np.ndarray], y: list[np.ndarray], slab: int = 4096) -> np.ndarray:
@@ -222,10 +245,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``."""
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    base = written(source.mapInArrow(_sketch, "doc_id long, n long, f1 long, f2 long, keys array<long>, sig binary"), "sketches")
+    base = written(source.mapInArrow(_sketch(forest_size(percent)), "doc_id long, n long, f1 long, f2 long, keys array<long>, sig binary"), "sketches")
     classes = base.where("n > 0 and doc_id is not null").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("id"))
     classes = written(classes, "classes")
-    heads = base.join(classes.where("n > 5"), ["n", "f1", "f2"]).where("doc_id = id").dropDuplicates(["id"])
+    # a set of n is at best linked with one of n + 1 that holds it
+    heads = base.join(classes.where(100 * F.col("n") >= percent * (F.col("n") + 1)), ["n", "f1", "f2"]).where("doc_id = id").dropDuplicates(["id"])
     heads = written(heads.select("id", "n", "f1", "keys", "sig"), "heads")
 
     rows = heads.select("id", "n", F.explode("keys").alias("key"))
@@ -237,7 +261,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     crowded = rows.where(F.col("size") > REGION).join(heads.select("id", "sig"), "id")
     crowded = written(crowded.select("key", "id", "n", "sig"), "crowded")
     order = crowded.repartitionByRange(spark.sparkContext.defaultParallelism * 4, "key", "sig").sortWithinPartitions("key", "sig", "id")
-    close = order.mapInArrow(_neighbours, "a long, b long")
+    close = order.mapInArrow(_neighbours(percent), "a long, b long")
     pairs = written(few.union(close).distinct(), "pairs")
 
     needed = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(crowded.select("id")).distinct()

@@ -57,6 +57,31 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, region):
     assert nd.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_near_duplicates_at_80(spark, monkeypatch):
+    monkeypatch.setattr(nd, "REGION", 8)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(10 * n + more, " ".join(words[n * 11 % 20 :][: n + 4 + more])) for n in (3, 4, 5, 6, 8) for more in (0, 1)]  # n and n + 1 shingles
+    rows = [(i, " ".join(f"{w}x{i // 10}" for w in t.split())) for i, t in rows]
+    rng = random.Random(3)
+    base = [f"b{i}" for i in range(104)]
+    for i in range(100, 140):  # a crowded group around 80
+        w = list(base)
+        for k in rng.sample(range(10, 95), rng.randint(1, 3)):
+            w[k] = f"c{rng.randint(0, 9)}"
+        rows.append((i, " ".join(w)))
+    f = Forest()
+    sets = [(i, shingles(t)) for i, t in rows]
+    for a, (i, x) in enumerate(sets):
+        for j, y in sets[:a]:
+            if 100 * len(x & y) >= 80 * len(x | y):
+                f.join(i, j)
+    assert f.find(41) == 40 and f.find(51) == 50 and f.find(31) == 31
+    out = nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 80).collect()
+    assert sorted(map(tuple, out)) == sorted((i, len(x), f.find(i), f.find(i) == i) for i, x in sets)
+    for percent in (80, 85, 90):
+        assert (1 - (percent / 100) ** nd.DEPTH) ** nd.forest_size(percent) <= 1e-5
+
+
 @pytest.mark.parametrize("text", ["one", "one two", "one two three", "one two three four"])
 def test_few_words_alone_in_a_chunk(spark, text):
     rows = [(1, text)]
