@@ -7,6 +7,8 @@ linked with nothing and stay.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,9 +23,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_crf.classify(docs, field, "__quality").where(F.col("__quality") >= 0.3).select(*docs.columns)
 
 
-def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str, percent: int = near_dups.PERCENT) -> DataFrame:
     """Of each group of near duplicates the document of smallest id stays."""
-    keep = near_dups.near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct()
+    keep = near_dups.near_duplicates(docs, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct()
     kept = docs.join(keep, docs["doc_id"] == keep["__id"], "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id is null"))
 
@@ -53,7 +55,9 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), group_tokens=2_000_000, cached_words=120_000)
 
 
-STAGES = [("quality", quality), ("near_dups", dedup), ("secrets", redact), ("mixing", mix), ("packing", pack)]
+#: Similarity from which the corpus holds two documents for one; 85 is for ``op1_near_dups``.
+SIMILAR = 80
+STAGES = [("quality", quality), ("near_dups", partial(dedup, percent=SIMILAR)), ("secrets", redact), ("mixing", mix), ("packing", pack)]
 ORACLE_SQL = None
 
 

@@ -27,6 +27,16 @@ def test_each_stage_takes_effect(spark):
     assert corpus_pipeline.run(spark, DATA).where("length <> size(ids)").count() == 0
 
 
+def test_near_dups_stage_links_from_80(spark):
+    w = [f"w{i}" for i in range(104)]
+    changed = lambda *at: " ".join("x" if i in at else x for i, x in enumerate(w))
+    rows = [(1, changed()), (2, changed(20, 60)), (3, changed(20, 40, 60))]  # 1 and 2: 90 of 110, 2 and 3: 95 of 105
+    rows += [(11, changed(0, 5, 10, 15, 20, 25, 30, 35)), (21, "a b c d e f g h"), (22, "a b c d e f g h i")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], spark.read.parquet(f"{DATA}/documents.parquet").schema)
+    stage = dict(corpus_pipeline.STAGES)["near_dups"]
+    assert sorted(r["doc_id"] for r in stage(spark, docs, DATA).collect()) == [1, 11, 21]
+
+
 def test_clashing_and_extra_columns(spark):
     from pyspark.sql import functions as F
 
