@@ -252,14 +252,16 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     heads = base.join(classes.where(100 * F.col("n") >= percent * (F.col("n") + 1)), ["n", "f1", "f2"]).where("doc_id = id").dropDuplicates(["id"])
     heads = written(heads.select("id", "n", "f1", "keys", "sig"), "heads")
 
-    rows = heads.select("id", "n", F.explode("keys").alias("key"))
+    rows = heads.select("id", "n", F.posexplode("keys").alias("tree", "key"))
     crowd = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     rows = written(rows.join(crowd, "key"), "regions")
     few = rows.where(F.col("size") <= REGION).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("id", "n"))).alias("m"))
     few = few.select(F.posexplode("m").alias("at", "x"), "m").select("x", F.explode(F.slice("m", F.col("at") + 2, F.lit(REGION))).alias("y"))
     few = few.where(100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     crowded = rows.where(F.col("size") > REGION).join(heads.select("id", "sig"), "id")
-    crowded = written(crowded.select("key", "id", "n", "sig"), "crowded")
+    # signatures turned, so that each begins with its tree's own values
+    turned = F.expr(f"concat(substring(sig, {2 * DEEPEST} * tree + 1), substring(sig, 1, {2 * DEEPEST} * tree))")
+    crowded = written(crowded.select("key", "id", "n", turned.alias("sig")), "crowded")
     order = crowded.repartitionByRange(spark.sparkContext.defaultParallelism * 4, "key", "sig").sortWithinPartitions("key", "sig", "id")
     close = order.mapInArrow(_neighbours(percent), "a long, b long")
     pairs = written(few.union(close).distinct(), "pairs")

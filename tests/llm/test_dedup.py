@@ -82,6 +82,22 @@ def test_near_duplicates_at_80(spark, monkeypatch):
         assert (1 - (percent / 100) ** nd.DEPTH) ** nd.forest_size(percent) <= 1e-5
 
 
+def test_crowded_regions_lie_in_their_trees_order(spark, monkeypatch):
+    tables = {}
+    kept = nd.written
+    monkeypatch.setattr(nd, "written", lambda df, what, *a: tables.setdefault(what, kept(df, what, *a)))
+    rows = [(i, " ".join([*(f"w{k}" for k in range(99)), f"x{i}"])) for i in range(nd.REGION + 8)]
+    nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    heads = {r["id"]: list(r["keys"]) for r in tables["heads"].collect()}
+    signature = {r["id"]: np.frombuffer(r["sig"], np.uint16) for r in tables["heads"].collect()}
+    seen = set()
+    for r in tables["crowded"].collect():
+        tree = heads[r["id"]].index(r["key"])
+        seen.add(tree)
+        assert np.frombuffer(r["sig"], np.uint16).tolist() == np.roll(signature[r["id"]], -nd.DEEPEST * tree).tolist()
+    assert len(seen) > 1
+
+
 @pytest.mark.parametrize("text", ["one", "one two", "one two three", "one two three four"])
 def test_few_words_alone_in_a_chunk(spark, text):
     rows = [(1, text)]
