@@ -11,7 +11,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The white space that separates words everywhere in this subpackage.
@@ -57,6 +57,16 @@ def hash_sample(df: DataFrame, column: str, rows: int) -> DataFrame:
     return df.orderBy(place, column).limit(rows)
 
 
+def fitting(df: DataFrame, column: str, amount: Column, most: int) -> DataFrame:
+    """Whole rows of the small table ``df``, in order of the hash of
+    ``column``, as long as their amounts add up to ``most`` at most. Rows of
+    one value go together; those that exceed ``most`` alone are passed over."""
+    sizes = df.groupBy(F.col(column).alias("__id")).agg(F.sum(amount).alias("__amount")).where(F.col("__amount") <= most)
+    upto = F.sum("__amount").over(Window.orderBy(F.pmod(F.xxhash64("__id"), F.lit(1 << 40)), "__id"))
+    kept = sizes.select("__id", upto.alias("__upto")).where(F.col("__upto") <= most)
+    return df.join(F.broadcast(kept), F.col(column) == F.col("__id"), "left_semi")
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once for each row."""
     return F.transform(F.array(value), body)[0]

@@ -6,8 +6,9 @@ document's label; the marginals that forward-backward gives are averaged with
 the lines' lengths as weights, and a logistic curve fitted on the same rows
 turns that, with the mean evidence of the lines, into the score.
 
-Training takes ``TRAIN_ROWS`` labelled rows at most, and ``TRAIN_LINES`` lines
-of each; scoring reads whole texts.
+Training takes whole texts, of ``TRAIN_ROWS`` labelled rows at most and of fewer
+where their lines would exceed ``TRAIN_LINES`` in all; a row of more lines than
+that is not chosen.
 
 Defined results: a null or empty text is one empty line and gets a score;
 repeated rows each get their own (equal) result; other columns are ignored; an
@@ -24,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, trimming
+from .common import fitting, table, trimming, written
 from .labelled import fold, logistic, sample
 from .textbytes import LOWER_VALUES, chunks, prefix_hashes, span_hashes, words
 
-TRAIN_ROWS, TRAIN_LINES = 6000, 200
+TRAIN_ROWS, TRAIN_LINES = 6000, 120_000
 _CLASS = np.zeros(256, np.uint8)  # 1 upper, 2 symbol, 3 shout, 4 digit, 5 stop, 6 bar
 for _k, _chars in enumerate(("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "#*$%&<>", "!?", "0123456789", ".,;:", "|"), 1):
     _CLASS[[ord(c) for c in _chars]] = _k
@@ -167,7 +168,8 @@ def scores(field: Field, texts: pa.Array) -> np.ndarray:
 
 
 def fitted(docs: DataFrame, labels: DataFrame, keep, rows: int = TRAIN_ROWS) -> Field:
-    """The field from at most ``rows`` labelled rows that ``keep`` allows."""
+    """The field from at most ``rows`` labelled rows that ``keep`` allows, and
+    ``TRAIN_LINES`` lines."""
 
     @trimming
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,10 +178,13 @@ def fitted(docs: DataFrame, labels: DataFrame, keep, rows: int = TRAIN_ROWS) ->
                 x, size, lines = line_features(data, offsets)
                 end = np.cumsum(lines)
                 for i, n in enumerate(lines):
-                    s = slice(end[i] - n, end[i] - n + min(n, TRAIN_LINES))
+                    s = slice(end[i] - n, end[i])
                     yield pa.RecordBatch.from_arrays([b.column(1)[at + i : at + i + 1], pa.array([x[s].tobytes()]), pa.array([size[s].tobytes()])], names=["y", "x", "size"])
 
-    found = sample(docs, labels, "quality", rows, keep).select("text", "y").mapInArrow(features, "y int, x binary, size binary").collect()
+    chosen = written(sample(docs, labels, "quality", rows, keep), "labelled")
+    count = F.length("text") - F.length(F.translate("text", "\n", "")) + 1
+    chosen = fitting(chosen, "doc_id", F.coalesce(count, F.lit(1)), TRAIN_LINES)
+    found = chosen.select("text", "y").mapInArrow(features, "y int, x binary, size binary").collect()
     found.sort(key=lambda r: (r["y"], bytes(r["x"])))  # the sum's order, and so the fit, is always the same
     if not found:
         return fit(np.zeros((0, 3 * N_OWN)), np.zeros(0), np.zeros(0, int), np.zeros(0))

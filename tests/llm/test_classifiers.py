@@ -83,3 +83,14 @@ def test_folding_and_exceptions():
     assert tox.evidence(tox.folded("the trash can"), a)[2] == 0.0
     assert tox.evidence(tox.folded("trashed loweien"), a)[2] == 2.0
     assert tox.evidence(tox.folded(""), a)[0] == 0.0
+
+
+def test_field_is_fitted_on_whole_documents(spark, monkeypatch):
+    lines = []
+    monkeypatch.setattr(crf, "fit", lambda x, size, n, y: lines.append(sorted(n.tolist())))
+    docs = spark.createDataFrame([(1, "a b\n" * 299 + "end"), (2, "one"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, 1)], "doc_id long, quality int")
+    crf.fitted(docs, labels, lambda d: d > 0)
+    monkeypatch.setattr(crf, "TRAIN_LINES", 299)
+    crf.fitted(docs, labels, lambda d: d > 0)
+    assert lines == [[1, 1, 300], [1, 1]]
