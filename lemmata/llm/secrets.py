@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_sample, table, trimming
+from .common import fitting, hash_sample, table, trimming, written
 
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -30,8 +30,9 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 KINDS = ("assign", "access", "hex", "random")
 MIN_TOKEN, THRESHOLD = 20, 1.0
-#: Documents, by smallest hash of doc_id, whose words train the model of ordinary strings.
-TRAIN_DOCUMENTS = 500
+#: Documents, by smallest hash of doc_id, whose words train the model of ordinary strings,
+#: and how many words they hold in all at most.
+TRAIN_DOCUMENTS, TRAIN_WORDS = 500, 2_000_000
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 ORDINARY = (
     "get set user name file path read write open close list index count value key map item node left right first last begin end "
@@ -112,10 +113,13 @@ def _joined(spans) -> str:
 
 
 def fitted(docs: DataFrame) -> np.ndarray:
-    """The ratio model, its ordinary words from ``TRAIN_DOCUMENTS`` documents
-    (4000 words of each at most) that the patterns find no secret in."""
+    """The ratio model, its ordinary words those of ``TRAIN_DOCUMENTS`` whole
+    documents that the patterns find no secret in; of fewer documents where
+    their words would exceed ``TRAIN_WORDS``."""
     clean = hash_sample(docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text"), "doc_id", TRAIN_DOCUMENTS)
-    words = clean.select(F.slice(F.split("text", r"[\x20\x09-\x0D]+"), 1, 4000).alias("w")).collect()
+    split = F.split("text", r"[\x20\x09-\x0D]+")
+    clean = fitting(written(clean, "ordinary"), "doc_id", F.size(split), TRAIN_WORDS)
+    words = clean.orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)), "doc_id", "text").select(split.alias("w")).collect()
     return ratio_model([w for r in words for w in r["w"] if not base_spans(w)])
 
 

@@ -40,3 +40,14 @@ def test_scan_and_redaction(spark):
     got = {r["doc_id"]: r["text"] for r in clean}
     assert got[1] == "use [SECRET] now" and got[0] == "[SECRET]' end" and got[2] is None and got[4] == texts[4]
     assert secrets.scan_secrets(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_ordinary_words_come_from_whole_documents(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(secrets, "ratio_model", lambda words: taken.append(list(words)))
+    docs = spark.createDataFrame([(1, " ".join(f"a{i}" for i in range(5000)), 0), (2, "b c", 0)], "doc_id long, text string, n int")
+    secrets.fitted(docs)
+    assert len(taken[0]) == 5002 and "a4999" in taken[0]
+    monkeypatch.setattr(secrets, "TRAIN_WORDS", 5001)
+    secrets.fitted(docs)
+    assert len(taken[1]) in (2, 5000)  # whole documents only
