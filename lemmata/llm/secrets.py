@@ -4,7 +4,8 @@ Two character models of second order, one of random strings and one of
 ordinary identifiers and words, are trained from labelled samples. A token of
 ``MIN_TOKEN`` characters or more whose log-likelihood ratio a character exceeds
 ``THRESHOLD`` is taken for a secret, kind ``random``. The patterns' spans
-always stay; spans of the models that overlap one of them are left out.
+always stay; a token that lies within one of them is left out, and one that
+only overlaps them is scored whole.
 
 Defined results: a null or empty text has no spans; repeated rows each get
 their own result; other columns are ignored; an empty table gives an empty
@@ -103,7 +104,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def all_spans(text: str, base: list, model: np.ndarray) -> list[tuple[int, int, int]]:
     out = list(base)
     for m in TOKEN.finditer(text):
-        if not any(s < m.end() and m.start() < e for s, _, e in base) and score(m.group(), model) > THRESHOLD:
+        if not any(s <= m.start() and m.end() <= e for s, _, e in base) and score(m.group(), model) > THRESHOLD:
             out.append((m.start(), 3, m.end()))
     return sorted(out)
 

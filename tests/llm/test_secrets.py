@@ -42,6 +42,17 @@ def test_scan_and_redaction(spark):
     assert secrets.scan_secrets(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_a_key_that_holds_a_base_span_goes_whole():
+    model = secrets.ratio_model(["plain", "words", "only", "end", "now"] * 20)
+    key = "0123456789abcdef01234567" + "ZqX9TvK2LmW7RbY4PjH8"
+    text = f"use {key} now"
+    spans = secrets.all_spans(text, secrets.base_spans(text), model)
+    assert secrets.base_spans(text) == [(4, 2, 28)] and (4, 2, 28) in spans
+    assert secrets.redacted(text, spans) == "use [SECRET] now"
+    text = "token = 0123456789abcdef01234567"  # lies within
+    assert secrets.all_spans(text, secrets.base_spans(text), model) == secrets.base_spans(text)
+
+
 def test_ordinary_words_come_from_whole_documents(spark, monkeypatch):
     taken = []
     monkeypatch.setattr(secrets, "ratio_model", lambda words: taken.append(list(words)))
