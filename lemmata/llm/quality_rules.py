@@ -18,79 +18,123 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, let, table, written
+from .common import table, written
 
-SYMBOLS = "#*$%&|<>"
+SPACE = r"[\x20\x09-\x0D]"
+SYMBOLS, SHOUTS, STOPS, MARKS = "#*$%&|<>", "!?", ".,;:", "*#$%&<>|!"
 GOOD, ABSTAIN, BAD = 1, 0, -1
-
-
-def _in_text(text: Column, chars: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, chars, ""))
-
-
-def _repeat_words(words: Column) -> Column:
-    """Words inside 3-word windows that occur at least twice in ``words``.
-
-    Windows are compared by a 64-bit hash of the three words. They are sorted
-    with their places, places of windows equal to a neighbour are kept in text
-    order, and each adds the words that the place before it did not cover.
-    Arrays used inside a lambda are bound by ``let``: were they columns, the
-    optimizer could move their whole computation into the lambda."""
-
-    def hashes(w):
-        return F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(w[i], w[i + 1], w[i + 2]))
-
-    def covered(places):
-        return F.aggregate(
-            places,
-            F.struct(F.lit(0).alias("n"), F.lit(-3).alias("at")),
-            lambda a, p: F.struct((a["n"] + F.least(F.lit(3), p - a["at"])).alias("n"), p.alias("at")),
-            lambda a: a["n"],
-        )
-
-    def repeated(s):
-        return F.array_sort(
-            F.filter(
-                F.transform(s, lambda x, i: F.when((F.get(s, i - 1)["h"] == x["h"]) | (F.get(s, i + 1)["h"] == x["h"]), x["i"])),
-                lambda p: p.isNotNull(),
-            )
-        )
-
-    def walk(h):
-        pairs = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(let(pairs, repeated)))
-
-    return let(words, lambda w: F.when(F.size(w) < 4, F.lit(0)).otherwise(let(hashes(w), walk)))
-
-
-def with_statistics(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and the statistics that the rules read, over whole texts."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select(
-        "doc_id",
-        text.alias("_t"),
-        F.filter(F.split(F.translate(text, SPACES[1:], " " * 5), " "), lambda w: w != "").alias("_w"),
-        F.filter(F.split(text, "\n"), lambda x: F.translate(x, SPACES, "") != "").alias("_l"),
-    )
-    n = F.size("_w")
-    lines = F.size("_l")
-    return base.select(
-        "doc_id",
-        n.cast("long").alias("n_words"),
-        F.length(F.translate("_t", SPACES, "")).cast("long").alias("word_chars"),
-        _in_text(F.col("_t"), SYMBOLS).cast("long").alias("n_symbols"),
-        (lines - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        _repeat_words(F.col("_w")).cast("long").alias("n_repeat_words"),
-        lines.cast("long").alias("n_lines"),
+#: Bytes above which a text is taken apart over many rows, and characters of a piece of it.
+LONG, PIECE = 1 << 20, 1 << 18
+STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct_words", "n_shouts", "n_upper", "n_stops", "n_marked")
+
+
+def _signs(text: Column) -> dict[str, Column]:
+    """Counts of single characters. One pass leaves only what any of them counts."""
+    left = F.regexp_replace(text, rf"[^{SYMBOLS}{SHOUTS}{STOPS}A-Z]+", "")
+    kinds = {"n_symbols": SYMBOLS, "n_shouts": SHOUTS, "n_upper": "A-Z", "n_stops": STOPS}
+    return {k: F.length(F.regexp_replace(left, f"[^{chars}]+", "")).cast("long") for k, chars in kinds.items()}
+
+
+def _in_arrays(rows: DataFrame) -> DataFrame:
+    """``rows`` without ``text`` but with its statistics, by arrays of one text's words.
+
+    Windows are compared by a 64-bit hash of their three words. Where some are
+    equal they are sorted with their places, places of windows equal to a
+    neighbour are kept in text order, and each adds the words that the place
+    before it did not cover. Every array that a lambda reads is a column that
+    is read twice at least, as the optimizer would move one that is read once
+    into the lambda and make it anew for each element."""
+    keep = [c for c in rows.columns if c != "text"]
+    text = F.col("text")
+    step = rows.select(*keep, F.array_remove(F.split(text, f"{SPACE}+"), "").alias("_w"), F.split(text, "\n").alias("_l"), *(c.alias(k) for k, c in _signs(text).items()), F.regexp_count(text, F.lit(rf"[{MARKS}](?!{_negated(SPACE)})")).cast("long").alias("n_marked"))
+    keep += ["n_symbols", "n_shouts", "n_upper", "n_stops", "n_marked"]
+    windows = F.transform(F.sequence(F.lit(0), F.size("_w") - 3), lambda i: F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2)))
+    step = step.select(
+        *keep,
+        F.size("_w").cast("long").alias("n_words"),
+        F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         F.size(F.array_distinct("_w")).cast("long").alias("n_distinct_words"),
-        _in_text(F.col("_t"), "!?").cast("long").alias("n_shouts"),
-        (F.length("_t") - F.length(F.translate("_t", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).cast("long").alias("n_upper"),
-        (F.length("_t") - F.length(F.translate("_t", ".,;:", ""))).cast("long").alias("n_stops"),
-        F.regexp_count("_t", F.lit(r"([\x20\x09-\x0D])(?:[^\x20\x09-\x0D]*[*#$%&<>|!]{1,3})(?=[\x20\x09-\x0D])")).cast("long").alias("n_marked"),
+        F.when(F.size("_w") > 3, windows).alias("_h"),
+        F.filter("_l", lambda x: x.rlike(_negated(SPACE))).alias("_l"),
+    )
+    keep += ["n_words", "word_chars", "n_distinct_words"]
+    lines = F.size("_l").cast("long")
+    numbered = F.sort_array(F.arrays_zip(F.col("_h").alias("h"), F.sequence(F.lit(0), F.size("_h") - 1).alias("i")))
+    step = step.select(*keep, lines.alias("n_lines"), (lines - F.size(F.array_distinct("_l"))).alias("n_dup_lines"), F.when(F.size(F.array_distinct("_h")) < F.size("_h"), numbered).alias("_p"))
+    keep += ["n_lines", "n_dup_lines"]
+    same = lambda x, i: F.get("_p", i)["h"] == x["h"]
+    places = F.filter(F.transform("_p", lambda x, i: F.when(same(x, i - 1) | same(x, i + 1), x["i"])), lambda p: p.isNotNull())
+    step = step.select(*keep, F.sort_array(places).alias("_p"))
+    covered = F.aggregate(
+        "_p",
+        F.struct(F.lit(0).alias("n"), F.lit(-3).alias("at")),
+        lambda a, p: F.struct((a["n"] + F.least(F.lit(3), p - a["at"])).alias("n"), p.alias("at")),
+        lambda a: a["n"],
     )
+    return step.select(*keep, F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
+
+
+def _negated(chars: str) -> str:
+    return f"[^{chars[1:]}"
+
+
+def _parted(pieces: DataFrame, at: str) -> DataFrame:
+    """(_row, slot, part): the texts split at the pattern ``at``. The last part
+    of a piece and the first one of the next have one slot and are put together."""
+    parts = pieces.select("_row", "_piece", F.split("_t", at).alias("_x"))
+    before = F.sum(F.size("_x") - 1).over(Window.partitionBy("_row").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.withColumn("_base", F.coalesce(before, F.lit(0)))
+    parts = parts.select("_row", "_piece", "_base", F.posexplode("_x").alias("_i", "_x")).select("_row", (F.col("_base") + F.col("_i")).alias("slot"), "_piece", "_x")
+    ordered = F.array_sort(F.collect_list(F.struct("_piece", "_x")))
+    return parts.groupBy("_row", "slot").agg(F.array_join(ordered["_x"], "").alias("part"))
+
+
+def _in_rows(rows: DataFrame) -> DataFrame:
+    """As ``_in_arrays``, with a row for each piece, word and line of a text, so
+    that no task holds more of it than its pieces. ``_row`` names the text."""
+    keep = [c for c in rows.columns if c not in ("text", "_row")]
+    numbers = F.sequence(F.lit(0), F.floor((F.greatest(F.length("text"), F.lit(1)) - 1) / PIECE).cast("int"))
+    pieces = written(rows.select("_row", F.col("text").alias("_t"), F.explode(numbers).alias("_piece")).select("_row", "_piece", F.substring("_t", F.col("_piece") * PIECE + 1, F.lit(PIECE)).alias("_t")), "pieces", 10)
+    signs = pieces.select("_row", *(c.alias(k) for k, c in _signs(F.col("_t")).items())).groupBy("_row").agg(*(F.sum(k).alias(k) for k in ("n_symbols", "n_shouts", "n_upper", "n_stops")))
+    words = written(_parted(pieces, SPACE).where("part <> ''"), "words")
+    order = Window.partitionBy("_row").orderBy("slot")
+    counted = words.groupBy("_row").agg(
+        F.count("*").alias("n_words"),
+        F.sum(F.length("part")).alias("word_chars"),
+        F.count_if(F.col("part").rlike(f"[{MARKS}]$")).alias("n_marked"),
+    )
+    distinct = words.groupBy("_row", "part").agg(F.lit(1).alias("one")).groupBy("_row").agg(F.count("*").alias("n_distinct_words"))
+    three = written(words.select("_row", F.row_number().over(order).alias("at"), F.col("part").alias("a"), F.lead("part").over(order).alias("b"), F.lead("part", 2).over(order).alias("c")).where("c is not null"), "windows")
+    often = three.groupBy("_row", "a", "b", "c").count().where("count > 1").drop("count")
+    place = three.join(often, ["_row", "a", "b", "c"]).select("_row", "at")
+    new = F.least(F.lit(3), F.coalesce(F.col("at") - F.lag("at").over(Window.partitionBy("_row").orderBy("at")), F.lit(3)))
+    repeats = place.select("_row", new.alias("new")).groupBy("_row").agg(F.sum("new").alias("n_repeat_words"))
+    lines = _parted(pieces, "\n").where(F.col("part").rlike(_negated(SPACE))).groupBy("_row", "part").agg(F.count("*").alias("n"))
+    lines = lines.groupBy("_row").agg(F.sum("n").alias("n_lines"), F.sum(F.col("n") - 1).alias("n_dup_lines"))
+    out = rows.select("_row", *keep)
+    for part in (signs, counted, distinct, repeats, lines):
+        out = out.join(part, "_row", "left")
+    return out.select(*keep, *(F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in STATISTICS))
+
+
+def with_statistics(docs: DataFrame, long: int = LONG) -> DataFrame:
+    """``doc_id`` and the statistics that the rules read, over whole texts, as a
+    written table. A text of more than ``long`` bytes, which arrays of its words
+    would make many times as large, is taken apart over rows; both ways give the
+    same."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select("doc_id", text.alias("text"))
+    is_long = F.octet_length("text") > long
+    short = rows.select("doc_id", is_long.alias("_long"), F.when(~is_long, F.col("text")).otherwise("").alias("text"))
+    done = written(_in_arrays(short), "statistics")
+    out = done.where("not _long").select("doc_id", *STATISTICS)
+    if done.where("_long").isEmpty():
+        return out
+    apart = written(rows.where(is_long).withColumn("_row", F.monotonically_increasing_id()), "long-texts", 10)
+    return out.union(written(_in_rows(apart).select("doc_id", *STATISTICS), "long-statistics"))
 
 
 #: How often a rule with that opinion is first believed to vote on good and on
@@ -173,7 +217,7 @@ def quality_rules(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     named = rules()
     stats = with_statistics(docs)
     columns = [f"vote_{k}" for k in named]
-    votes = written(stats.select("*", *(F.when(when, F.lit(o)).otherwise(F.lit(ABSTAIN)).alias(c) for c, (o, when) in zip(columns, named.values(), strict=True))), "votes")
+    votes = stats.select("*", *(F.when(when, F.lit(o)).otherwise(F.lit(ABSTAIN)).alias(c) for c, (o, when) in zip(columns, named.values(), strict=True)))
     counted = votes.groupBy(*columns).count().collect()  # 2 ** 11 rows at most
     share, rates = fit([(tuple(r[c] for c in columns), r["count"]) for r in counted], [o for o, _ in named.values()])
     score = F.lit(logit(share))

@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+from lemmata.llm import quality_rules as quality_rules_module
 from lemmata.llm.quality_rules import GOOD, accuracy, fit, posterior, quality_rules, with_statistics
 
 SCHEMA = "doc_id long, text string, extra string"
@@ -16,13 +17,30 @@ def brute(text):
     return len(words), sum(map(len, words)), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(hit)
 
 
-def test_statistics_against_brute_force(spark):
+def both_ways(docs):
+    for long in (quality_rules_module.LONG, 40, -1):
+        yield {r["doc_id"]: (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) for r in with_statistics(docs, long).collect()}, {tuple(r[c] for c in ("doc_id", *quality_rules_module.STATISTICS)) for r in with_statistics(docs, long).collect()}
+
+
+def test_statistics_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(quality_rules_module, "PIECE", 7)
     rng = random.Random(1)
-    texts = [None, "", " \n\t", "a", "a b", "a a a", "a a a a", "a b c a b c", "x\n x\nx\n\nx", "é| é| z #", "a b c a b c d", "w " * 3000]
+    texts = [None, "", " \n\t", "a", "a b", "a a a", "a a a a", "a b c a b c", "x\n x\nx\n\nx", "é| é| z #", "a b c a b c d", "w " * 3000, "longword" * 9, "\U0001f600! Ab\n" * 5]
     texts += ["".join(rng.choice(["a", "bb", "c*", " ", " ", "\n", "\t"]) for _ in range(rng.randint(1, 120))) for _ in range(60)]
     rows = [(i, t, "e") for i, t in enumerate(texts)]
-    got = {r["doc_id"]: (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) for r in with_statistics(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert got == {i: brute(t) for i, t, _ in rows}
+    docs = spark.createDataFrame(rows, SCHEMA)
+    results = list(both_ways(docs))
+    assert all(got == {i: brute(t) for i, t, _ in rows} for got, _ in results)
+    assert all(everything == results[0][1] for _, everything in results)
+
+
+def test_text_of_ten_megabytes(spark):
+    rng = random.Random(3)
+    text = " ".join(rng.choice(["ab", "cde", "f*", "\n", "ghij"]) + str(rng.randint(0, 200)) for _ in range(1_500_000))
+    docs = spark.createDataFrame([(1, text, ""), (2, "a b c d", ""), (2, "a b c d", "")], "doc_id long, text string, _long string")
+    out = with_statistics(docs).collect()
+    got = {r["doc_id"]: (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) for r in out}
+    assert len(out) == 3 and got == {1: brute(text), 2: brute("a b c d")}
 
 
 def test_verdicts(spark):
