@@ -16,12 +16,16 @@ on neighbours; what remains is the forest's own miss, ``MISS`` at most for a
 pair at the threshold: the number of trees follows from ``percent``, 20 at 85
 and 29 at 80.
 
-Shingles are compared by 64-bit hashes.
+Shingles are compared by 64-bit hashes. A class is known by the size of its set
+and 128 bits of the set's content.
 
 Defined results: a null or empty text, or one without words, has an empty set
 and is linked with nothing; with fewer than five words the whole sequence is the
-one shingle; repeated rows belong to one component; other columns are ignored;
-an empty table gives an empty result. ``doc_id`` is an integer.
+one shingle; repeated rows belong to one component; rows of one ``doc_id`` with
+unlike texts are told apart, and each gets the smallest id of its own text's
+component; a row without a ``doc_id`` is linked with nothing; other columns are
+ignored; an empty table gives an empty result. ``doc_id`` is an integer. A text
+of any length is one row, and its set is held whole, 8 bytes a shingle.
 """
 
 from __future__ import annotations
@@ -46,8 +50,9 @@ MISS = 1e-5
 REGION, NEIGHBOURS = 32, 3
 #: Estimated similarity below which a neighbour in a crowded region is no candidate yet.
 LIKELY = 0.7
-#: Classes in a block of those outside the largest component, and of all.
+#: Classes in a block of those outside the largest component, and of all; and shingles in either, about.
 ASKING, ASKED = 128, 512
+BLOCK_SHINGLES = 1 << 20
 _PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -143,7 +148,7 @@ def _sketch(trees: int):
                 values, count = shingle_sets(data, offsets)
                 sig, prints = signatures(values, count, trees), _fingerprints(values, count)
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(0, trees * len(count) + 1, trees), pa.int32()), pa.array(_region_keys(sig).ravel()))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(count)), pa.array(count), pa.array(prints[:, 0]), pa.array(prints[:, 1]), keys, _binaries(sig)], names=["doc_id", "n", "f1", "f2", "keys", "sig"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(count)), b.column(2).slice(at, len(count)), pa.array(count), pa.array(prints[:, 0]), pa.array(prints[:, 1]), keys, _binaries(sig)], names=["doc_id", "t", "n", "f1", "f2", "keys", "sig"])
 
     return run
 
@@ -155,7 +160,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at, data, offsets in chunks(b.column(1)):
             values, count = shingle_sets(data, offsets)
             k = len(count)
-            good = _fingerprints(values, count)[:, 0] == b.column(2).slice(at, k).to_numpy()
+            prints = _fingerprints(values, count)
+            good = (prints[:, 0] == b.column(2).slice(at, k).to_numpy()) & (prints[:, 1] == b.column(3).slice(at, k).to_numpy())
             parts = np.split(values, np.cumsum(count)[:-1])
             yield pa.RecordBatch.from_arrays([b.column(0).slice(at, k), pa.array([p.tobytes() for p in parts], pa.binary())], names=["id", "set"]).filter(pa.array(good))
 
@@ -241,16 +247,19 @@ def _blocks(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs``."""
+def _classes(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, f1, f2) of every row; and (n, f1, f2, component, first) of
+    every class, ``first`` being the smallest ``doc_id`` in it, with the hash of
+    its text. Components are told apart by ``component``, not by their ids."""
     spark = docs.sparkSession
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    base = written(source.mapInArrow(_sketch(forest_size(percent)), "doc_id long, n long, f1 long, f2 long, keys array<long>, sig binary"), "sketches")
-    classes = base.where("n > 0 and doc_id is not null").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("id"))
-    classes = written(classes, "classes")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("t"))
+    base = written(source.mapInArrow(_sketch(forest_size(percent)), "doc_id long, t long, n long, f1 long, f2 long, keys array<long>, sig binary"), "sketches")
+    classes = base.where("n > 0 and doc_id is not null").groupBy("n", "f1", "f2").agg(F.min(F.struct("doc_id", "t")).alias("first"))
+    classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     # a set of n is at best linked with one of n + 1 that holds it
-    heads = base.join(classes.where(100 * F.col("n") >= percent * (F.col("n") + 1)), ["n", "f1", "f2"]).where("doc_id = id").dropDuplicates(["id"])
-    heads = written(heads.select("id", "n", "f1", "keys", "sig"), "heads")
+    large = classes.where(100 * F.col("n") >= percent * (F.col("n") + 1)).select("n", "f1", "f2", "id", F.col("first.doc_id").alias("doc_id"), F.col("first.t").alias("t"))
+    heads = base.join(large, ["n", "f1", "f2", "doc_id", "t"]).dropDuplicates(["id"])
+    heads = written(heads.select("id", "doc_id", "t", "n", "f1", "f2", "keys", "sig"), "heads")
 
     rows = heads.select("id", "n", F.posexplode("keys").alias("tree", "key"))
     crowd = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
@@ -267,8 +276,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     pairs = written(few.union(close).distinct(), "pairs")
 
     needed = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(crowded.select("id")).distinct()
-    needed = needed.join(heads.select("id", "f1"), "id")
-    full = source.join(needed, F.col("doc_id") == F.col("id")).select("id", "text", "f1").mapInArrow(_sets, "id long, set binary")
+    needed = needed.join(heads.select("id", "doc_id", "t", "f1", "f2"), "id")
+    full = source.join(needed, ["doc_id", "t"]).select("id", "text", "f1", "f2").mapInArrow(_sets, "id long, set binary")
     sets = written(full.dropDuplicates(["id"]), "sets")
     left, right = sets.select(F.col("id").alias("a"), F.col("set").alias("x")), sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
     links = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long")
@@ -276,12 +285,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     found = components(links)
 
     # what crowded regions leave apart
-    member = crowded.select("key", "id").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    member = crowded.select("key", "id", "n").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     member = written(member, "members")
-    parts = member.groupBy("key", "component").agg(F.count("*").alias("k")).groupBy("key").agg(F.count("*").alias("parts"), F.sum("k").alias("size"), F.max_by("component", F.struct("k", "component")).alias("largest"))
+    parts = member.groupBy("key", "component").agg(F.count("*").alias("k"), F.sum("n").alias("shingles")).groupBy("key").agg(F.count("*").alias("parts"), F.sum("k").alias("size"), F.sum("shingles").alias("shingles"), F.max_by("component", F.struct("k", "component")).alias("largest"))
     member = member.join(parts.where("parts > 1"), "key").join(sets, "id")
     entry = F.struct("component", "set")
-    few_asking, few_asked = F.ceil((F.col("size") + 1) / ASKING).cast("int"), F.ceil((F.col("size") + 1) / ASKED).cast("int")
+    few_asking, few_asked = (F.ceil(F.greatest((F.col("size") + 1) / k, F.col("shingles") / BLOCK_SHINGLES)).cast("int") for k in (ASKING, ASKED))
     member = member.withColumn("p", F.pmod(F.xxhash64("id"), few_asking)).withColumn("q", F.pmod(F.xxhash64("id"), few_asked)).withColumn("q_all", few_asked)
     asking = member.where("component <> largest").groupBy("key", "p").agg(F.collect_list(entry).alias("asking"), F.first("q_all").alias("q_all"))
     asking = asking.select("key", "asking", F.explode(F.sequence(F.lit(0).cast("long"), F.col("q_all") - F.lit(1).cast("long"))).alias("q"))
@@ -292,11 +301,33 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         lone = merged.select(F.col("component").alias("id"), "to").join(found, "id", "left_anti").select("id", F.col("to").alias("component"))
         found = written(found.join(merged, "component", "left").select("id", F.coalesce("to", "component").alias("component")).union(lone), "components")
 
-    named = classes.join(found, "id", "left").select("n", "f1", "f2", F.coalesce("component", "id").alias("component_id"))
-    out = base.select("doc_id", "n", "f1", "f2").join(named, ["n", "f1", "f2"], "left")
+    named = classes.join(found, "id", "left").select("n", "f1", "f2", F.coalesce("component", "id").alias("component"), "first")
+    return base.select("doc_id", "n", "f1", "f2"), named
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of ``docs``."""
+    base, named = _classes(docs, percent)
+    least = named.groupBy("component").agg(F.min("first.doc_id").alias("component_id"))
+    named = named.select("n", "f1", "f2", "component").join(least, "component").drop("component")
+    # a row without an id is in no class
+    keyed = base.withColumn("_n", F.when(F.col("doc_id").isNotNull(), F.col("n")))
+    out = keyed.join(named.withColumnRenamed("n", "_n"), ["_n", "f1", "f2"], "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
+def one_of_each(docs: DataFrame, percent: int) -> DataFrame:
+    """``docs`` with one row of each component, the one of smallest ``doc_id``
+    and then of smallest hash of its text. Rows that are linked with nothing,
+    those without words or ``doc_id`` included, all stay."""
+    _, named = _classes(docs, percent)
+    chosen = named.groupBy("component").agg(F.min("first").alias("first")).select("first.doc_id", "first.t")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), row.alias("row"))
+    kept = keyed.join(chosen, ["doc_id", "t"], "left_semi").dropDuplicates(["doc_id", "t"]).select("row.*")
+    return kept.unionByName(docs.where(F.col("doc_id").isNull() | F.col("text").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]")))
+
+
 def op1_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), PERCENT)

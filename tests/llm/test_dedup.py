@@ -20,14 +20,18 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
 
 
-def brute(rows):
+def brute(rows, percent=85):
+    """Nodes are rows, so that an id may stand for several texts."""
     sets = [(i, shingles(t)) for i, t in rows]
     f = Forest()
     for a, (i, x) in enumerate(sets):
-        for j, y in sets[:a]:
-            if x and y and 100 * len(x & y) >= 85 * len(x | y):
-                f.join(i, j)
-    return sorted((i, len(x), f.find(i), f.find(i) == i) for i, x in sets)
+        for b, (j, y) in enumerate(sets[:a]):
+            if x and y and None not in (i, j) and 100 * len(x & y) >= percent * len(x | y):
+                f.join(a, b)
+    least = {}
+    for a, (i, _) in enumerate(sets):
+        least[f.find(a)] = min(least.get(f.find(a), i), i) if i is not None else None
+    return sorted(((i, len(x), least[f.find(a)], least[f.find(a)] == i) for a, (i, x) in enumerate(sets)), key=str)
 
 
 def near_rows(seed):
@@ -53,10 +57,31 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, region):
     monkeypatch.setattr(nd, "ASKED", 11)
     rows = near_rows(region)
     out = nd.near_duplicates(spark.createDataFrame([(i, t, 1, 2, "x") for i, t in rows], SCHEMA)).collect()
-    assert sorted(map(tuple, out)) == brute(rows)
+    assert sorted(map(tuple, out), key=str) == brute(rows)
     assert nd.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_one_id_with_unlike_texts(spark):
+    rng = random.Random(11)
+    text = lambda: " ".join("".join(rng.choices("abcdef", k=5)) for _ in range(40))
+    a, b = text(), text()
+    rows = [(1, a), (1, b), (2, a + " w"), (3, b + " v"), (3, text()), (None, a), (None, a), (4, a), (4, a), (1, a), (5, None), (5, b.upper())]
+    docs = spark.createDataFrame([(i, t, n, "x", None) for n, (i, t) in enumerate(rows)], "doc_id int, text string, t long, `row` string, `first.id` string")
+    assert sorted(map(tuple, nd.near_duplicates(docs).collect()), key=str) == brute(rows)
+    kept = nd.one_of_each(docs, 85)
+    assert kept.columns == docs.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    assert got == sorted([(1, a), (1, b), (3, rows[4][1]), (None, a), (None, a), (5, None)], key=str)
+
+
+def test_text_of_ten_megabytes(spark):
+    rng = random.Random(12)
+    long = " ".join(str(rng.randint(0, 10**6)) for _ in range(1_500_000))
+    rows = [(1, long), (2, long + " end"), (3, "a b c d e f"), (4, long[: len(long) // 2])]
+    got = {r["doc_id"]: r["component_id"] for r in nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
 def test_near_duplicates_at_80(spark, monkeypatch):
     monkeypatch.setattr(nd, "REGION", 8)
     words = [f"w{i}" for i in range(40)]
@@ -69,15 +94,10 @@ def test_near_duplicates_at_80(spark, monkeypatch):
         for k in rng.sample(range(10, 95), rng.randint(1, 3)):
             w[k] = f"c{rng.randint(0, 9)}"
         rows.append((i, " ".join(w)))
-    f = Forest()
-    sets = [(i, shingles(t)) for i, t in rows]
-    for a, (i, x) in enumerate(sets):
-        for j, y in sets[:a]:
-            if 100 * len(x & y) >= 80 * len(x | y):
-                f.join(i, j)
-    assert f.find(41) == 40 and f.find(51) == 50 and f.find(31) == 31
+    want = brute(rows, 80)
+    assert {(41, 40), (51, 50), (31, 31)} <= {(i, c) for i, _, c, _ in want}
     out = nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 80).collect()
-    assert sorted(map(tuple, out)) == sorted((i, len(x), f.find(i), f.find(i) == i) for i, x in sets)
+    assert sorted(map(tuple, out), key=str) == want
     for percent in (80, 85, 90):
         assert (1 - (percent / 100) ** nd.DEPTH) ** nd.forest_size(percent) <= 1e-5
 
@@ -101,10 +121,10 @@ def test_crowded_regions_lie_in_their_trees_order(spark, monkeypatch):
 @pytest.mark.parametrize("text", ["one", "one two", "one two three", "one two three four"])
 def test_few_words_alone_in_a_chunk(spark, text):
     rows = [(1, text)]
-    assert sorted(map(tuple, nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == brute(rows)
+    assert sorted(map(tuple, nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str) == brute(rows)
     rows = [(1, text), (2, "a b c d e f g"), (3, text.upper())]  # a partition of each
     docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 3), "doc_id long, text string")
-    assert sorted(map(tuple, nd.near_duplicates(docs).collect())) == brute(rows)
+    assert sorted(map(tuple, nd.near_duplicates(docs).collect()), key=str) == brute(rows)
 
 
 def test_components(spark):
