@@ -13,11 +13,14 @@ k-th word is due. Documents are range-sorted by that time.
 
 Hot sources: running sums are taken within slices of about ``SLICE_ROWS``
 documents of a source, and only the slices' sums are summed per source.
+Documents of one id and size follow each other and are counted in ``SALTS``
+portions first, so that an id, or a missing one, held by a third of all rows
+stays divided.
 
 Defined results: a null text has size 0 and takes nothing; a null source is a
 source of its own, sorted last; repeated rows are separate documents, ordered
-among themselves by size; other columns are ignored; an empty table gives an
-empty result.
+among themselves by size; a text of any length is only counted; other columns
+are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,8 +32,9 @@ from .common import SPACES, table, written
 
 #: Documents in a slice of a source, about, and slices of a source at most.
 SLICE_ROWS, MAX_SLICES = 500, 65_536
-#: The driver computes targets for so many sources at most.
-MAX_SOURCES = 100_000
+SALTS = 256
+#: Sources up to which their targets are broadcast; more are joined by a shuffle.
+BROADCAST_SOURCES = 100_000
 #: Weight schedules as (time, weight) knots, dealt to sources in turn: one that
 #: fades out, one that comes in, and one with a hump.
 CURRICULUM = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 0.5), (1.0, 1.5)), ((0.0, 0.8), (0.5, 1.4), (1.0, 0.4)))
@@ -38,13 +42,13 @@ CURRICULUM = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 0.5), (1.0, 1.5)), ((0.0, 0.8), (
 
 def size(text: Column) -> Column:
     """Number of words of the whole text."""
-    words = F.split(F.translate(F.coalesce(text, F.lit("")), SPACES[1:], " " * 5), " ")
-    return F.size(F.filter(words, lambda w: w != "")).cast("long")
+    return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")).cast("long")
 
 
 def targets(sizes: list[tuple[str | None, int]], weights=(3, 1, 2), share: float = 1.5, max_epochs: float = 2.0) -> dict:
     """Target of each source: ``share`` of all sizes by ``weights`` dealt in
-    code-point order, null last, none above ``max_epochs`` times its size."""
+    code-point order, null last, none above ``max_epochs`` times its size. The
+    plain form of ``with_targets``."""
     order = sorted(sizes, key=lambda x: (x[0] is None, x[0] or ""))
     weight = {s: float(weights[i % len(weights)]) for i, (s, _) in enumerate(order)}
     left = share * sum(n for _, n in sizes)
@@ -90,35 +94,56 @@ def integrated(schedule) -> list[tuple[float, float, float]]:
     return [(t, w / area, a / area) for t, w, a in out]
 
 
-def with_shares(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, max_epochs: float = 2.0, curriculum=CURRICULUM) -> DataFrame:
+def with_targets(sources: DataFrame, weights=(3, 1, 2), share: float = 1.5, max_epochs: float = 2.0) -> DataFrame:
+    """``sources`` (source, n) with each one's place ``i`` and ``target``. The
+    sources of least limit to weight are full first; the first that the rate of
+    what is then left does not fill, and all after it, get that rate. One row
+    for each source; the windows over all of them spill."""
+    weight = F.element_at(F.array(*map(F.lit, map(float, weights))), F.pmod("i", F.lit(len(weights))).cast("int") + 1)
+    dealt = sources.withColumn("i", F.row_number().over(Window.orderBy(F.asc_nulls_last("source"))) - 1).withColumn("w", weight)
+    limit = F.col("n") * F.lit(float(max_epochs))
+    order = Window.orderBy("ratio", "i")
+    before, after = order.rowsBetween(Window.unboundedPreceding, -1), Window.orderBy(F.desc("ratio"), F.desc("i")).rowsBetween(Window.unboundedPreceding, 0)
+    rated = dealt.withColumn("limit", limit).withColumn("ratio", F.col("limit") / F.col("w"))
+    rated = rated.withColumn("total", F.sum("n").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) * F.lit(float(share)))
+    rated = rated.withColumn("rate", (F.col("total") - F.coalesce(F.sum("limit").over(before), F.lit(0.0))) / F.sum("w").over(after))
+    held = F.first(F.when(F.col("rate") <= F.col("ratio"), F.col("rate")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    target = F.when(held.isNull(), F.col("limit")).otherwise(F.least(F.col("limit"), F.round(held * F.col("w"), 6)))
+    return rated.withColumn("target", target).drop("limit", "ratio", "total", "rate", "w")
+
+
+def with_shares(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, max_epochs: float = 2.0, curriculum=CURRICULUM, carry: dict[str, Column] | None = None) -> DataFrame:
     """For every row its ``doc_id``, ``source``, ``size``, ``source_size``, ``target``, ``start`` (words of
     its source before it), ``taken`` and, for each reading of the stream that
-    takes words of it, an element (words, position) of ``readings``. ``__row``
-    names the row: a column of that name if ``docs`` has one."""
-    spark = docs.sparkSession
-    rows = docs.withColumn("size", size(F.col("text"))).withColumn("_key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    lean = written(rows.select("doc_id", "source", "size", "_key", *([F.monotonically_increasing_id().alias("__row")] if "__row" not in docs.columns else ["__row"])), "sizes")
-    sources = lean.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).limit(MAX_SOURCES + 1).collect()
-    if len(sources) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    want = targets([(r["source"], r["n"]) for r in sources], weights, share, max_epochs)
-    order = sorted(sources, key=lambda r: (r["source"] is None, r["source"] or ""))
-    plan = spark.createDataFrame(
-        [(r["source"], r["n"], want[r["source"]], min(MAX_SLICES, max(1, r["rows"] // SLICE_ROWS)), integrated(curriculum[i % len(curriculum)])) for i, r in enumerate(order)],
-        "source string, source_size long, target double, slices long, knots array<struct<t: double, w: double, a: double>>",
-    ).withColumnRenamed("source", "_source")
-    # at most MAX_SOURCES rows of a few hundred bytes
-    lean = lean.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    lean = lean.withColumn("_slice", F.floor(F.conv(F.substring("_key", 1, 8), 16, 10).cast("long") * F.col("slices") / F.lit(2**32)))
-    sums = lean.groupBy("source", "_slice").agg(F.sum("size").alias("_n"))
+    takes words of it, an element (words, position) of ``readings``; and what
+    ``carry`` adds to these, under its names."""
+    carry = carry or {}
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    lean = docs.select("doc_id", "source", size(F.col("text")).alias("size"), key.alias("_key"), *(c.alias(k) for k, c in carry.items()), F.monotonically_increasing_id().alias("_row"))
+    lean = written(lean, "sizes")
+    sources = written(lean.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("rows")), "sources")
+    knots = [F.array(*(F.struct(*(F.lit(x).alias(n) for n, x in zip("twa", k, strict=True))) for k in integrated(c))) for c in curriculum]
+    plan = with_targets(sources, weights, share, max_epochs).select(
+        F.col("source").alias("_source"), F.col("n").alias("source_size"), "target",
+        F.least(F.lit(MAX_SLICES), F.greatest(F.lit(1), F.floor(F.col("rows") / SLICE_ROWS))).cast("long").alias("slices"),
+        F.element_at(F.array(*knots), F.pmod("i", F.lit(len(knots))).cast("int") + 1).alias("knots"),
+    )
+    if sources.count() <= BROADCAST_SOURCES:  # rows of a few hundred bytes
+        plan = F.broadcast(plan)
+    lean = lean.join(plan, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    lean = lean.withColumn("_slice", F.floor(F.conv(F.substring("_key", 1, 8), 16, 10).cast("long") * F.col("slices") / F.lit(2**32))).withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS)))
+    portion = ("source", "_slice", "_key", "size", "_salt")
+    portions = lean.groupBy(*portion).agg((F.count("*") * F.col("size")).alias("_n"))
+    sums = portions.groupBy("source", "_slice").agg(F.sum("_n").alias("_n"))
     before = Window.partitionBy("source").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col("source").alias("_s"), F.col("_slice").alias("_k"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    within = Window.partitionBy("source", "_slice").orderBy("_key", "size", "__row").rowsBetween(Window.unboundedPreceding, -1)
-    placed = lean.withColumn("_in", F.coalesce(F.sum("size").over(within), F.lit(0))).join(
-        sums, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_slice") == F.col("_k"))
-    )
+    sums = sums.select("source", "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    within = Window.partitionBy("source", "_slice").orderBy("_key", "size", "_salt").rowsBetween(Window.unboundedPreceding, -1)
+    portions = portions.withColumn("_in", F.coalesce(F.sum("_n").over(within), F.lit(0)))
+    portions = _same(portions, sums, ("source", "_slice"))
+    number = F.row_number().over(Window.partitionBy(*portion).orderBy("_row")) - 1
+    placed = _same(lean.withColumn("_at", number), portions.drop("_n"), portion)
     whole = F.round("target").cast("long")
-    placed = placed.withColumn("start", F.col("_base") + F.col("_in"))
+    placed = placed.withColumn("start", F.col("_base") + F.col("_in") + F.col("_at") * F.col("size"))
 
     def taken(epoch: Column) -> Column:
         return F.greatest(F.lit(0), F.least(F.col("size"), whole - F.col("start") - epoch * F.col("source_size")))
@@ -130,7 +155,16 @@ def with_shares(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, max_epoc
     )
     return placed.withColumn("readings", readings).withColumn(
         "taken", F.aggregate("readings", F.lit(0).cast("long"), lambda a, x: a + x["words"])
-    ).select("__row", "doc_id", "source", "size", "source_size", "target", "start", "taken", "readings")
+    ).select("doc_id", "source", "size", "source_size", "target", "start", "taken", "readings", *carry)
+
+
+def _same(left: DataFrame, right: DataFrame, columns) -> DataFrame:
+    """Inner join on equal columns, where null equals null in the first."""
+    named = right.select(*(F.col(c).alias(f"_{c}") for c in columns), *(c for c in right.columns if c not in columns))
+    on = F.col(columns[0]).eqNullSafe(F.col(f"_{columns[0]}"))
+    for c in columns[1:]:
+        on = on & (F.col(c) == F.col(f"_{c}"))
+    return left.join(named, on).drop(*(f"_{c}" for c in columns))
 
 
 def in_training_order(mixed: DataFrame) -> DataFrame:

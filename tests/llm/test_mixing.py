@@ -1,3 +1,5 @@
+import random
+
 import duckdb
 import pytest
 
@@ -29,6 +31,28 @@ def test_due_inverts_the_schedule(spark):
             assert area == pytest.approx(r["x"], abs=1e-9)
 
 
+def test_targets_in_windows(spark):
+    rng = random.Random(1)
+    for case in range(6):
+        sizes = [(f"s{i}", rng.choice([0, 1, 7, 500, 10_000, 10_000])) for i in range(rng.randint(0, 12))] + [(None, 40)] * (case % 2)
+        got = {r["source"]: r["target"] for r in mixing.with_targets(spark.createDataFrame(sizes, "source string, n long")).collect()}
+        assert got == pytest.approx(mixing.targets(sizes), abs=1e-6)
+
+
+def test_hot_ids_and_clashing_columns(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SLICE_ROWS", 20)
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    rows = [(None, "a b c", "s", 1, "x") for _ in range(300)] + [(7, "a b", "s", 1, "x")] * 200 + [(i, "w " * (i % 5), "t", 1, "x") for i in range(100)] + [(9, "v " * 2_000_000, "u", 1, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size int, _row string")
+    out = mixing.with_shares(docs).collect()
+    assert len(out) == len(rows)
+    for s in "stu":
+        g = sorted((r["start"], r["size"]) for r in out if r["source"] == s and r["size"])
+        assert g[0][0] == 0 and all(b[0] == a[0] + a[1] for a, b in zip(g, g[1:], strict=False))  # gapless
+        taken = sum(r["taken"] for r in out if r["source"] == s)
+        assert abs(taken - next(r["target"] for r in out if r["source"] == s)) <= 1
+
+
 @pytest.mark.parametrize("slice_rows", [3, 500])
 def test_shares(spark, monkeypatch, slice_rows):
     monkeypatch.setattr(mixing, "SLICE_ROWS", slice_rows)
@@ -56,6 +80,7 @@ def test_sql(spark):
     d = "/root/testdata/sf0.001"
     c = duckdb.connect()
     c.execute(f"create view documents as select * from '{d}/documents.parquet'")
-    want = sorted(map(str, c.sql(f"select doc_id, size, source_size, target, taken, n_readings from ({mixing.SQL.strip()})").fetchall()))
-    got = mixing.op7_mixing(spark, d).select("doc_id", "size", "source_size", "target", "taken", "n_readings").collect()
+    names = "doc_id, size, source_size, target, taken, start, n_readings, position"
+    want = sorted(map(str, c.sql(f"select {names} from ({mixing.SQL.strip()})").fetchall()))
+    got = mixing.op7_mixing(spark, d).select(*names.split(", ")).collect()
     assert sorted(str(tuple(r)) for r in got) == want
