@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: The white space that separates words everywhere in this subpackage.
 SPACES = " \t\n\x0b\x0c\r"
@@ -94,6 +95,13 @@ def released(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def mapped(df: DataFrame, f, schema: StructType) -> DataFrame:
+    """``df.mapInArrow(f, schema)`` for columns of any name: ``f`` sees and
+    gives columns by their places."""
+    plain = StructType([StructField(f"c{i}", x.dataType) for i, x in enumerate(schema.fields)])
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(f, plain).toDF(*schema.names)
+
+
 def trimming(f):
     """The function of Arrow batches ``f``, which gives the memory that it has
     freed back to the system at its end; a Python worker serves many tasks and

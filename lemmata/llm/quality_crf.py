@@ -1,18 +1,25 @@
 """Document quality from a linear-chain conditional random field over lines.
 
 Every line is good or bad. Its features are counts on the line itself and on
-the lines before and after it. The field is trained with each line carrying its
-document's label; the marginals that forward-backward gives are averaged with
-the lines' lengths as weights, and a logistic curve fitted on the same rows
-turns that, with the mean evidence of the lines, into the score.
+the lines before and after it. Which lines are good is not known: a line's true
+label is latent, and its document's label is a reading of it that is wrong as
+often as ``WRONG`` says, so that a junk line in a good document may well come
+out bad. The field is trained on the likelihood of these readings, over the
+labelled documents and over ones spliced of a good and a bad document each,
+which hold the steps between good and bad that whole documents seldom show. The
+marginals that forward-backward gives are averaged with the lines' lengths as
+weights, and a logistic curve fitted on the labelled documents turns that, with
+the mean evidence of the lines, into the score.
 
 Training takes whole texts, of ``TRAIN_ROWS`` labelled rows at most and of fewer
 where their lines would exceed ``TRAIN_LINES`` in all; a row of more lines than
 that is not chosen.
 
 Defined results: a null or empty text is one empty line and gets a score;
-repeated rows each get their own (equal) result; other columns are ignored; an
-empty table gives an empty result; without labels every score is 0.5.
+repeated rows each get their own (equal) result; other columns go along; an
+empty table gives an empty result; without labels every score is 0.5. A text of
+any length is one chain: about 200 bytes for each of its lines and 60 for each
+of its words are held at once.
 """
 
 from __future__ import annotations
@@ -25,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fitting, table, trimming, written
+from .common import fitting, mapped, table, trimming, written
 from .labelled import fold, logistic, sample
 from .textbytes import LOWER_VALUES, chunks, prefix_hashes, span_hashes, words
 
@@ -34,6 +41,8 @@ _CLASS = np.zeros(256, np.uint8)  # 1 upper, 2 symbol, 3 shout, 4 digit, 5 stop,
 for _k, _chars in enumerate(("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "#*$%&<>", "!?", "0123456789", ".,;:", "|"), 1):
     _CLASS[[ord(c) for c in _chars]] = _k
 N_OWN = 14
+#: How often a bad line is taken for good as its document is, and a good one for bad.
+WRONG = (0.15, 0.15)
 
 
 def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -81,11 +90,16 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
         np.minimum(counts[:, 3] / w, 3), counts[:, 4] / c, np.minimum(counts[:, 6] / w, 2),
         1 - distinct / w, adjacent / w, dup,
     ]).astype(np.float32)
+    return in_context(own, row), size, lines
+
+
+def in_context(own: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Features of each line, of the one before and of the one after in its text."""
     before, after = np.zeros_like(own), np.zeros_like(own)
     same = row[1:] == row[:-1]
     before[1:][same] = own[:-1][same]
     after[:-1][same] = own[1:][same]
-    return np.column_stack([own, before, after]), size, lines
+    return np.column_stack([own, before, after])
 
 
 @dataclass
@@ -135,20 +149,43 @@ def summary(odds: np.ndarray, marginal: np.ndarray, size: np.ndarray, lines: np.
     return np.column_stack([np.log(m / (1 - m)), np.clip(np.add.reduceat(weight * odds, at) / total, -10, 10)])
 
 
-def fit(features: np.ndarray, size: np.ndarray, lines: np.ndarray, y: np.ndarray, rounds: int = 150) -> Field:
-    """Penalised maximum likelihood of the chains by Adam, then the curve."""
+def spliced(features: np.ndarray, lines: np.ndarray, y: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, lines in each row and labels of lines of documents made of two:
+    one inserted in the middle of the other, good and bad in turn, of ``most``
+    lines in all at most."""
+    end = np.cumsum(lines)
+    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    own, count, label = [], [], []
+    for i in range(max(len(good), len(bad)) if len(good) and len(bad) else 0):
+        outer, inner = (good[i % len(good)], bad[i % len(bad)])[:: 1 if i % 2 else -1]
+        if sum(count) + lines[outer] + lines[inner] > most:
+            break
+        middle = end[outer] - lines[outer] // 2
+        at = np.concatenate([np.arange(end[outer] - lines[outer], middle), np.arange(end[inner] - lines[inner], end[inner]), np.arange(middle, end[outer])])
+        own.append(features[at, :N_OWN])
+        count.append(len(at))
+        label.append(np.where((at >= end[inner] - lines[inner]) & (at < end[inner]), y[inner], y[outer]))
+    if not own:
+        return features[:0], lines[:0], y[:0]
+    return in_context(np.concatenate(own), np.repeat(np.arange(len(count)), count)), np.array(count), np.concatenate(label)
+
+
+def fit(features: np.ndarray, size: np.ndarray, lines: np.ndarray, y: np.ndarray, rounds: int = 100) -> Field:
+    """Penalised maximum likelihood of the readings by Adam, then the curve.
+    The gradient is what the field expects given the readings, less what it
+    expects without them."""
     if not len(y) or y.min() == y.max():
         return Field(np.zeros(features.shape[1]), np.zeros((2, 2)), np.array([0.0, 0.0, 0.0]))
-    label = np.repeat(y, lines).astype(float)
-    first = np.zeros(len(label), bool)
-    first[np.concatenate([[0], np.cumsum(lines)[:-1]])] = True
-    j = np.flatnonzero(~first)
-    seen = np.array([[((label[j - 1] == p) & (label[j] == q)).sum() for q in (0, 1)] for p in (0, 1)], float)
-    theta, m, v = np.zeros(features.shape[1] + 4), 0.0, 0.0
+    more, count, label = spliced(features, lines, y, TRAIN_LINES // 2)
+    x, chains = np.concatenate([features, more]), np.concatenate([lines, count])
+    label = np.concatenate([np.repeat(y, lines), label])
+    reading = np.where(label == 1, np.log((1 - WRONG[1]) / WRONG[0]), np.log(WRONG[1] / (1 - WRONG[0])))
+    theta, m, v = np.zeros(x.shape[1] + 4), 0.0, 0.0
     for r in range(1, rounds + 1):
-        odds = features @ theta[:-4]
-        marginal, pairs, _ = forward_backward(odds, theta[-4:].reshape(2, 2), lines)
-        g = np.concatenate([features.T @ (label - marginal), (seen - pairs).ravel()]) / len(label) - 1e-3 * theta
+        odds, step = x @ theta[:-4], theta[-4:].reshape(2, 2)
+        known, held, _ = forward_backward(odds + reading, step, chains)
+        free, pairs, _ = forward_backward(odds, step, chains)
+        g = np.concatenate([x.T @ (known - free), (held - pairs).ravel()]) / len(label) - 1e-3 * theta
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         theta = theta + 0.1 * (m / (1 - 0.9**r)) / (np.sqrt(v / (1 - 0.99**r)) + 1e-8)
     odds, step = features @ theta[:-4], theta[-4:].reshape(2, 2)
@@ -156,15 +193,19 @@ def fit(features: np.ndarray, size: np.ndarray, lines: np.ndarray, y: np.ndarray
     return Field(theta[:-4], step, logistic(summary(odds, marginal, size, lines), y))
 
 
-def scores(field: Field, texts: pa.Array) -> np.ndarray:
-    out = np.empty(len(texts))
-    for at, data, offsets in chunks(texts):
+def line_marginals(field: Field, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of run after run of ``texts``: scores, lines in each, and the probability
+    of each line to be good."""
+    for _, data, offsets in chunks(texts):
         x, size, lines = line_features(data, offsets)
         odds = x @ field.unary
         marginal, _, _ = forward_backward(odds, field.step, lines)
         s = summary(odds, marginal, size, lines) @ field.curve[:-1] + field.curve[-1]
-        out[at : at + len(lines)] = 1 / (1 + np.exp(-np.clip(s, -30, 30)))
-    return out
+        yield 1 / (1 + np.exp(-np.clip(s, -30, 30))), lines, marginal
+
+
+def scores(field: Field, texts: pa.Array) -> np.ndarray:
+    return np.concatenate([np.zeros(0), *(s for s, _, _ in line_marginals(field, texts))])
 
 
 def fitted(docs: DataFrame, labels: DataFrame, keep, rows: int = TRAIN_ROWS) -> Field:
@@ -193,24 +234,31 @@ def fitted(docs: DataFrame, labels: DataFrame, keep, rows: int = TRAIN_ROWS) ->
     return fit(x, np.concatenate(size), np.array([len(s) for s in size]), np.array([r["y"] for r in found]))
 
 
-def classify(docs: DataFrame, field: Field, column: str = "score") -> DataFrame:
-    """``docs`` with ``column``, the probability that quality is 1; a column of
-    that name is replaced."""
-    docs = docs.drop(column)
+def classify(docs: DataFrame, field: Field, column: str = "score", bad_lines: str | None = None) -> DataFrame:
+    """``docs`` with ``column``, the probability that quality is 1, and with
+    ``bad_lines``, if it is named, the numbers from 0 of lines that are rather
+    bad; columns of these names are replaced."""
+    docs = docs.drop(column, *([bad_lines] if bad_lines else []))
     shared = docs.sparkSession.sparkContext.broadcast(field)  # a few hundred floats
     at = docs.columns.index("text")
 
     @trimming
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores(shared.value, b.column(at)))], names=[*b.schema.names, column])
+            found = list(line_marginals(shared.value, b.column(at)))
+            more = [pa.array(np.concatenate([np.zeros(0), *(s for s, _, _ in found)]))]
+            if bad_lines:
+                lists = [np.flatnonzero(m < 0.5).astype(np.int32) for _, lines, marginal in found for m in np.split(marginal, np.cumsum(lines)[:-1])]
+                more.append(pa.array(lists, pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*b.schema.names, *(f"c{b.num_columns + i}" for i in range(len(more)))])
 
-    return docs.mapInArrow(run, docs.select("*", F.lit(0.0).alias(column)).schema)
+    schema = docs.select("*", F.lit(0.0).alias(column), *([F.array(F.lit(0)).alias(bad_lines)] if bad_lines else [])).schema
+    return mapped(docs, run, schema)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     field = fitted(docs, labels, lambda d: fold(d, 5) != 0)
-    return classify(docs.select("doc_id", "text"), field).select(
-        "doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    return classify(docs.select("doc_id", "text"), field, bad_lines="bad_lines").select(
+        "doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "bad_lines"
     )

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fitting, hash_sample, table, trimming, written
+from .common import fitting, hash_sample, mapped, table, trimming, written
 
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -175,7 +175,7 @@ def redact_secrets(docs: DataFrame, model: np.ndarray | None = None) -> DataFram
                 cols[n_at] = pa.array([None if t is None else len(t) for t in texts], b.schema.field(n_at).type)
             yield pa.RecordBatch.from_arrays(cols, schema=b.schema)
 
-    return docs.mapInArrow(redact, schema)
+    return mapped(docs, redact, schema)
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

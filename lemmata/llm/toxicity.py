@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, trimming
+from .common import mapped, table, trimming
 from .labelled import fold, logistic, sample
 
 TRAIN_ROWS, MAX_ENTRIES = 20_000, 2000
@@ -178,9 +178,9 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, column: str = "score") ->
         for b in batches:
             e = np.array([evidence(folded(t), a) for t in b.column(at).to_pylist()]).reshape(-1, 4)
             s = 1 / (1 + np.exp(-np.clip(e @ curve[:-1] + curve[-1], -30, 30)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s)], names=[*b.schema.names, column])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s)], names=[*b.schema.names, f"c{b.num_columns}"])
 
-    return docs.mapInArrow(run, docs.select("*", F.lit(0.0).alias(column)).schema)
+    return mapped(docs, run, docs.select("*", F.lit(0.0).alias(column)).schema)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,3 +94,45 @@ def test_field_is_fitted_on_whole_documents(spark, monkeypatch):
     monkeypatch.setattr(crf, "TRAIN_LINES", 299)
     crf.fitted(docs, labels, lambda d: d > 0)
     assert lines == [[1, 1, 300], [1, 1]]
+
+
+def test_lines_of_mixed_documents(spark):
+    """Held-out bad documents inside held-out good ones: their lines, and only theirs, come out bad."""
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    field = crf.fitted(docs, labels, lambda d: fold(d, 5) != 0)
+    rows = docs.join(labels, "doc_id").where(fold(docs["doc_id"], 5) == 0).orderBy("doc_id").collect()
+    good = [r["text"].split("\n") for r in rows if r["quality"] == 1 and "\n" in r["text"]]
+    bad = [r["text"].split("\n") for r in rows if r["quality"] == 0 and r["text"].strip()]
+    texts, want = [], []
+    for g, b in zip(good, bad, strict=False):
+        k = len(g) // 2
+        texts.append("\n".join([*g[:k], *b, *g[k:]]))
+        want.append([1] * k + [0] * len(b) + [1] * (len(g) - k))
+    out = crf.classify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), field, bad_lines="bad_lines").orderBy("doc_id").collect()
+    got = [[int(i not in r["bad_lines"]) for i in range(len(w))] for r, w in zip(out, want, strict=True)]
+    assert np.mean([np.mean(np.array(g) == w) for g, w in zip(got, want, strict=True)]) > 0.85
+    g, w = np.concatenate(got), np.concatenate(want)
+    print("bad lines found", (g[w == 0] == 0).mean(), "good lines left", (g[w == 1] == 1).mean())
+    assert (g[w == 0] == 0).mean() > 0.5 and (g[w == 1] == 1).mean() > 0.95
+
+
+def test_spliced_documents():
+    rng = np.random.default_rng(5)
+    lines, y = np.array([2, 3, 1]), np.array([1, 0, 0])
+    own = rng.normal(size=(6, crf.N_OWN)).astype(np.float32)
+    x, count, label = crf.spliced(crf.in_context(own, np.repeat(np.arange(3), lines)), lines, y, 9)
+    assert count.tolist() == [5, 3] and label.tolist() == [0, 0, 1, 1, 0, 1, 0, 1]
+    assert (x[:, : crf.N_OWN] == own[[2, 3, 0, 1, 4, 0, 5, 1]]).all()
+    assert (x[1, crf.N_OWN : 2 * crf.N_OWN] == own[2]).all() and not x[4, 2 * crf.N_OWN :].any()
+    assert crf.spliced(x, lines, np.array([1, 1, 1]), 9)[1].tolist() == []
+
+
+def test_texts_of_ten_megabytes():
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(500)]
+    text = "\n".join(" ".join(rng.choice(words, 10)) for _ in range(280_000))
+    field = crf.Field(np.linspace(-1, 1, 3 * crf.N_OWN), np.zeros((2, 2)), np.array([1.0, 0.5, 0.1]))
+    (score, lines, marginal), = crf.line_marginals(field, pa.array([text]))
+    assert 0 <= score[0] <= 1 and lines.tolist() == [280_000] == [len(marginal)]
+    a = tox.Lexicon({"w499 ": 3.0}).automaton()
+    assert tox.evidence(tox.folded(text.replace("w", "w" * 2)), a)[0] == 0.0 and tox.evidence(tox.folded(text.replace("w499", "x")), a)[3] > 14
