@@ -15,8 +15,11 @@ those are told apart by a 64-bit hash of their content. Records that come back
 give byte ranges, which are joined with the places that the tasks kept.
 
 An anchor that occurs more than ``HOT`` times skips the merge: its records'
-windows are counted by their hash in an aggregation, which sums within tasks
-first, so that no range grows with one passage.
+windows are counted by the anchor's hash and their own, 128 bits together, in an
+aggregation, which sums within tasks first, so that no range grows with one
+passage. Dividing such an anchor's records among ranges by their content would
+not do: equal windows reach left and right of the anchor by all amounts, so that
+their records may differ in any one part.
 
 Defined results: a null text counts as empty and has nothing to remove; repeated
 rows repeat each other's bytes; other columns are ignored; an empty table gives
@@ -158,7 +161,7 @@ def _runs(ranges: int):
             for at in range(0, len(hot), 2000):
                 part = hot[at : at + 2000]
                 keys = [window_hashes([f[0]], [f[1]]) for f, _ in part]
-                yield batch([(min(2, v[1]), None, w[0].tolist(), None, None, [v[0], w[1][0]]) for (_, v), w in zip(part, keys, strict=True)])
+                yield batch([(min(2, v[1]), None, w[0].tolist(), None, None, [v[0], w[1][0], struct.unpack_from(">q", f[0])[0]]) for (f, v), w in zip(part, keys, strict=True)])
             for at in range(0, len(places), 2000):
                 yield batch([(None, None, None, k, a, [found[f][0] for f in fs]) for k, a, fs in places[at : at + 2000]])
 
@@ -310,10 +313,10 @@ def remove_repeats(docs: DataFrame, hot: int = HOT, with_kept: bool = True) -> D
     released(spark)
     merge = runs.where("run is not null").groupBy("target").agg(F.collect_list("run").alias("runs"))
     back = merge.select("runs").mapInArrow(_merge, "rec long, s long, e long")
-    windows = runs.where("hashes is not null").select(F.col("target").alias("times"), F.get("rec", F.lit(0)).alias("rec"), F.get("rec", F.lit(1)).alias("base"), F.posexplode("hashes").alias("i", "hash"))
-    again = windows.groupBy("hash").agg(F.sum("times").alias("n")).where("n > 1").select("hash")
+    windows = runs.where("hashes is not null").select(F.col("target").alias("times"), F.get("rec", F.lit(0)).alias("rec"), F.get("rec", F.lit(1)).alias("base"), F.get("rec", F.lit(2)).alias("anchor"), F.posexplode("hashes").alias("i", "hash"))
+    again = windows.groupBy("anchor", "hash").agg(F.sum("times").alias("n")).where("n > 1").select("anchor", "hash")
     s = F.col("base") + F.col("i")
-    back = written(back.union(windows.join(again, "hash").select("rec", s, s + LENGTH)), "covered", 1)
+    back = written(back.union(windows.join(again, ["anchor", "hash"]).select("rec", s, s + LENGTH)), "covered", 1)
     places = runs.where("k is not null").select("k", F.explode(F.arrays_zip("at", "rec")).alias("x")).select("k", "x.at", "x.rec")
     spans = places.join(back, "rec").groupBy("k").agg(F.collect_set(F.struct((F.col("at") + F.col("s")).alias("s"), (F.col("at") + F.col("e")).alias("e"))).alias("ranges"))
     spans = written(spans, "spans")
