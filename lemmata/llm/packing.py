@@ -10,8 +10,10 @@ that has room for the whole. What fits nowhere whole is cut to fill the room
 left, so that the padding of a group is less than one sequence.
 
 Defined results: a null text counts as empty, and an empty document is its end
-token alone; repeated rows are packed as separate documents; other columns are
-ignored; an empty table gives an empty result.
+token alone; repeated rows are packed as separate documents; documents of one
+cost go in the order that they are read in, and of sequences of one cost the
+first is taken; other columns are ignored; an empty table gives an empty result.
+A text of any length is tokenized at once: about 100 bytes for each of its words.
 """
 
 from __future__ import annotations
@@ -39,9 +41,14 @@ def cost(n: int) -> float:
     return LINEAR * n + QUADRATIC * n * n
 
 
+#: Texts that show whether a tokenizer works word by word.
+PROBES = ("Some Words, in  lines.\nAND tabs\t too! ", " don't 12ab x*** (y) \"z\" a.b é, É; 1,5 ??", "\u00a0a\u2003b \x1cfoo\x1dbar İx Σας ﬁ ٣, #tag|%")
+
+
 class WordTokenizer:
-    """Ids of whole texts from a tokenizer that drops white space and never
-    joins what it separates; ids of words are remembered.
+    """Ids of whole texts. Where a tokenizer drops white space, never joins what
+    it separates and lower-cases ASCII, ids of words are remembered; which is
+    tried on ``PROBES``. Any other tokenizer gets whole texts.
 
     Punctuation that ends a word is looked up apart, as the tokenizer cuts
     there too. Words of letters alone are encoded many at a time and told apart
@@ -60,9 +67,15 @@ class WordTokenizer:
         self.end = np.array([END], self.dtype).tobytes()
         self.known: dict[bytes, bytes] = {}
         self.cached_words = cached_words
+        probes = [*PROBES, *(w for t in PROBES for w in t.split())]
+        self.by_words = bool(self.ends.any()) and all(np.array_equal(a, np.append(self._ids(t), END)) for a, t in zip(self._by_words(probes), probes, strict=True))
+        self.known.clear()
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _one(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        return np.array(self._ids(text), self.dtype).tobytes()
 
     def _learn(self, fresh: list[bytes]) -> None:
         known = self.known
@@ -82,6 +95,11 @@ class WordTokenizer:
                 known[w] = self._one(t)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if self.by_words:
+            return self._by_words(texts)
+        return [np.array([*e.ids, END], "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _by_words(self, texts: list[str]) -> list[np.ndarray]:
         # lower-casing ASCII first is safe: the tokenizer does so itself
         split = [None if "<|" in t else t.encode().lower().split() for t in texts]
         known = self.known

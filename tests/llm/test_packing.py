@@ -68,3 +68,11 @@ def test_pieces(spark):
         for r in mine:
             assert r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes()) and r["doc_tokens"] == len(ids) and r["length"] == len(r["ids"])
     assert pack_documents(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+@pytest.mark.parametrize("file", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_tokenizers_of_either_kind(file):
+    t = WordTokenizer(public_tokenizers.path(file))
+    assert t.by_words == file.startswith("word")
+    texts = ["Some  Words here,\nand There.", "", "  x", *WORDS]
+    assert [g.tolist() for g in t.encode(texts)] == [[*t.tokenizer.encode(x, add_special_tokens=False).ids, END] for x in texts]
