@@ -1,15 +1,17 @@
 """Secret scans: fixed patterns, plus character Markov models.
 
 Two character models of second order, one of random strings and one of
-ordinary identifiers and words, are trained from labelled samples. A token of
+ordinary identifiers and words, are trained from labelled samples: generated
+keys and identifiers, and words of the corpus, which count as random where the
+patterns take them for secrets and as ordinary elsewhere. A token of
 ``MIN_TOKEN`` characters or more whose log-likelihood ratio a character exceeds
 ``THRESHOLD`` is taken for a secret, kind ``random``. The patterns' spans
 always stay; a token that lies within one of them is left out, and one that
 only overlaps them is scored whole.
 
 Defined results: a null or empty text has no spans; repeated rows each get
-their own result; other columns are ignored; an empty table gives an empty
-result.
+their own result; other columns go along or are ignored; an empty table gives an
+empty result. A text of any length is scanned as one string.
 """
 
 from __future__ import annotations
@@ -81,11 +83,11 @@ def identifier_samples(n: int = 3000, seed: int = 8) -> list[str]:
     return out
 
 
-def ratio_model(ordinary_words: Iterable[str]) -> np.ndarray:
+def ratio_model(ordinary_words: Iterable[str], secret_words: Iterable[str] = ()) -> np.ndarray:
     """Log-likelihood ratio, random over ordinary, of a character after two others."""
     words = [re.sub(r"[^A-Za-z0-9+/_=-]", "", w) for w in ordinary_words]
     joined = ["".join(words[i : i + 3]) for i in range(0, len(words), 3)]
-    return (counts(random_samples()) - counts(identifier_samples() + words + joined)).astype(np.float32)
+    return (counts([*random_samples(), *secret_words]) - counts(identifier_samples() + words + joined)).astype(np.float32)
 
 
 def score(token: str, model: np.ndarray) -> float:
@@ -102,9 +104,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def all_spans(text: str, base: list, model: np.ndarray) -> list[tuple[int, int, int]]:
-    out = list(base)
+    out, at, reach = list(base), 0, -1
     for m in TOKEN.finditer(text):
-        if not any(s <= m.start() and m.end() <= e for s, _, e in base) and score(m.group(), model) > THRESHOLD:
+        while at < len(base) and base[at][0] <= m.start():
+            reach = max(reach, base[at][2])  # a span that starts before the token holds it if it reaches its end
+            at += 1
+        if m.end() > reach and score(m.group(), model) > THRESHOLD:
             out.append((m.start(), 3, m.end()))
     return sorted(out)
 
@@ -114,14 +119,16 @@ def _joined(spans) -> str:
 
 
 def fitted(docs: DataFrame) -> np.ndarray:
-    """The ratio model, its ordinary words those of ``TRAIN_DOCUMENTS`` whole
-    documents that the patterns find no secret in; of fewer documents where
-    their words would exceed ``TRAIN_WORDS``."""
+    """The ratio model, its words those of ``TRAIN_DOCUMENTS`` whole documents,
+    labelled by the patterns; of fewer documents where their words would exceed
+    ``TRAIN_WORDS``."""
     clean = hash_sample(docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text"), "doc_id", TRAIN_DOCUMENTS)
     split = F.split("text", r"[\x20\x09-\x0D]+")
     clean = fitting(written(clean, "ordinary"), "doc_id", F.size(split), TRAIN_WORDS)
     words = clean.orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)), "doc_id", "text").select(split.alias("w")).collect()
-    return ratio_model([w for r in words for w in r["w"] if not base_spans(w)])
+    found = [(w, base_spans(w)) for r in words for w in r["w"]]
+    secret = [t for w, spans in found for s, _, e in spans for t in TOKEN.findall(w[s:e])]
+    return ratio_model([w for w, spans in found if not spans], secret)
 
 
 def scan_secrets(docs: DataFrame, model: np.ndarray | None = None) -> DataFrame:
