@@ -3,41 +3,46 @@
 Folding lower-cases, maps look-alike letters of other scripts and digits or
 signs used as letters to Latin letters, and leaves single spaces between words. The lexicon holds whole words and beginnings of words; their
 weights are log-ratios of how many toxic and other labelled documents hold
-them. Exception phrases, given or found in labelled rows that are not toxic,
+them. Exception phrases, found in labelled rows that are not toxic or given,
 cancel the entries inside them. The weights found in a text, normalised by its
 length, go through a logistic curve fitted on the same labelled rows.
 
-Learning reads ``TRAIN_ROWS`` labelled rows at most; counts are made by a
-distributed aggregation and ``MAX_ENTRIES`` entries at most reach the driver.
+Learning reads ``TRAIN_ROWS`` labelled rows at most, of ``TRAIN_CHARACTERS`` in
+all at most, as whole rows; all entries that they show to be significant, and
+all phrases, reach the driver. These are bounded by the sample: an entry needs
+several toxic documents.
 
 Defined results: a null or empty text holds no entry and gets the score of
-that; repeated rows each get their own (equal) result; other columns are
-ignored; an empty table gives an empty result; without labels every score is
-0.5.
+that; repeated rows each get their own (equal) result; other columns go along;
+an empty table gives an empty result; without labels, or without any entry
+found in them, every score is that of the curve alone, 0.5 without labels. A
+text of any length is folded as one string, and takes a few bytes for each
+character.
 """
 
 from __future__ import annotations
 
 import math
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mapped, table, trimming
+from .common import fitting, mapped, table, trimming, written
 from .labelled import fold, logistic, sample
 
-TRAIN_ROWS, MAX_ENTRIES = 20_000, 2000
+TRAIN_ROWS, TRAIN_CHARACTERS = 20_000, 200_000_000
 #: Beginnings of words are tried in these lengths.
 STEMS = (4, 5, 6)
 #: An entry's least log-ratio, and the least surprise at its share of toxic
 #: documents: twice the log-likelihood ratio against the common share.
 LEAST_WEIGHT, LEAST_SURPRISE = 1.5, 14.0
-EXCEPTIONS = ("trash can", "trash cans", "trash bin", "class clown", "clown fish", "pond scum", "sore loser rule", "idiot proof", "soap scum")
 #: Letters that look like Latin ones, and digits and signs used for letters.
 HOMOGLYPHS = {
     "а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "ѕ": "s", "т": "t", "у": "y", "х": "x",
@@ -98,7 +103,9 @@ def evidence(text: str, automaton) -> tuple[float, float, float, float]:
         elif w > best.get(start, -9.0):
             best[start] = w
     if spared:
-        best = {s: w for s, w in best.items() if not any(a <= s < b for a, b in spared)}
+        starts = [a for a, _ in sorted(spared)]
+        ends = list(accumulate((b for _, b in sorted(spared)), max))
+        best = {s: w for s, w in best.items() if not (i := bisect_right(starts, s)) or s >= ends[i - 1]}
     n = text.count(" ")
     total = sum(best.values())
     return total / (1 + math.log1p(n)), min(total / n * 10, 5), max(best.values(), default=0.0), math.log1p(n)
@@ -113,9 +120,10 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(list(grams), pa.string()), pa.array([y] * len(grams), pa.int32())], names=["gram", "y"])
 
 
-def learned(docs: DataFrame, labels: DataFrame, keep, rows: int = TRAIN_ROWS, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
+def learned(docs: DataFrame, labels: DataFrame, keep, rows: int = TRAIN_ROWS, exceptions: tuple[str, ...] = ()) -> Lexicon:
     """Lexicon and curve from at most ``rows`` labelled rows that ``keep`` allows."""
-    found = sample(docs, labels, "toxic", rows, keep).select("text", "y")
+    found = written(sample(docs, labels, "toxic", rows, keep), "labelled-toxic")
+    found = fitting(found, "doc_id", F.coalesce(F.length("text"), F.lit(0)), TRAIN_CHARACTERS).select("text", "y")
     totals = {r["y"]: r["count"] for r in found.groupBy("y").count().collect()}
     pos, neg = totals.get(1, 0), totals.get(0, 0)
     if not pos or not neg:
@@ -125,7 +133,7 @@ def learned(docs: DataFrame, labels: DataFrame, keep, rows: int = TRAIN_ROWS, ex
     p, n, share = F.col("p"), F.col("n"), pos / (pos + neg)
     surprise = 2 * (p * F.log(p / n / share) + F.when(n > p, (n - p) * F.log((n - p) / n / (1 - share))).otherwise(0.0))
     kept = counted.where(p > 0).withColumn("w", weight).where((F.col("w") >= LEAST_WEIGHT) & (surprise >= LEAST_SURPRISE))
-    top = kept.orderBy(F.desc(F.col("w") * F.log1p("p")), "gram").limit(MAX_ENTRIES).collect()
+    top = kept.orderBy("gram").collect()  # bounded by the sample
     lexicon = Lexicon({r["gram"]: r["w"] for r in top}, tuple(exceptions))
     lexicon.exceptions += _phrases(found, lexicon)
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
@@ -144,6 +152,8 @@ def learned(docs: DataFrame, labels: DataFrame, keep, rows: int = TRAIN_ROWS, ex
 def _phrases(found: DataFrame, lexicon: Lexicon, least: int = 5) -> tuple[str, ...]:
     """Two-word phrases around an entry that ``least`` labelled documents hold,
     none of them toxic."""
+    if not lexicon.entries:
+        return ()
     shared = found.sparkSession.sparkContext.broadcast(lexicon)
 
     def pairs(batches):
@@ -162,14 +172,14 @@ def _phrases(found: DataFrame, lexicon: Lexicon, least: int = 5) -> tuple[str, .
                 yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), pa.array([y] * len(out), pa.int32())], names=["phrase", "y"])
 
     counted = found.mapInArrow(pairs, "phrase string, y int").groupBy("phrase").agg(F.sum("y").alias("p"), F.count("*").alias("n"))
-    return tuple(r["phrase"] for r in counted.where((F.col("p") == 0) & (F.col("n") >= least)).orderBy(F.desc("n"), "phrase").limit(MAX_ENTRIES).collect())
+    return tuple(r["phrase"] for r in counted.where((F.col("p") == 0) & (F.col("n") >= least)).orderBy("phrase").collect())
 
 
 def score_toxicity(docs: DataFrame, lexicon: Lexicon, column: str = "score") -> DataFrame:
     """``docs`` with ``column``, the probability that toxic is 1; a column of that
     name is replaced."""
     docs = docs.drop(column)
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # MAX_ENTRIES entries and phrases each
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # bounded by the sample that it was learned on
     at = docs.columns.index("text")
 
     @trimming

@@ -136,3 +136,46 @@ def test_texts_of_ten_megabytes():
     assert 0 <= score[0] <= 1 and lines.tolist() == [280_000] == [len(marginal)]
     a = tox.Lexicon({"w499 ": 3.0}).automaton()
     assert tox.evidence(tox.folded(text.replace("w", "w" * 2)), a)[0] == 0.0 and tox.evidence(tox.folded(text.replace("w499", "x")), a)[3] > 14
+
+
+def plain_evidence(text, entries, exceptions):
+    """As ``tox.evidence``: every entry tried at every place."""
+    best = {}
+    for i, c in enumerate(text):
+        if c == " ":
+            for e, w in entries.items():
+                if text.startswith(" " + e, i):
+                    best[i] = max(best.get(i, -9.0), w)
+    for e in exceptions:
+        for i in range(len(text)):
+            if text.startswith(f" {e} ", i):
+                best = {s: w for s, w in best.items() if not i <= s < i + len(e) + 1}
+    n = text.count(" ")
+    total = sum(w for _, w in sorted(best.items()))
+    return total / (1 + np.log1p(n)), min(total / n * 10, 5), max(best.values(), default=0.0), np.log1p(n)
+
+
+def test_matching_against_every_entry_at_every_place():
+    rng = np.random.default_rng(7)
+    words = ["ab", "abc", "abcd", "b", "bc", "c d", "x", "ba"]
+    for _ in range(300):
+        entries = {str(w) + rng.choice(["", " "]): float(rng.uniform(0.5, 4)) for w in rng.choice(words[:5] + ["x", "ba"], rng.integers(0, 5))}
+        exceptions = tuple(" ".join(rng.choice(["ab", "bc", "x", "abc"], rng.integers(1, 4))) for _ in range(rng.integers(0, 4)))
+        text = tox.folded(" ".join(rng.choice(["ab", "abc", "bc", "x", "4b", "Xy", "abcde", "ba"], rng.integers(0, 25))))
+        assert tox.evidence(text, tox.Lexicon(entries, exceptions).automaton()) == pytest.approx(plain_evidence(text, entries, exceptions))
+
+
+def test_weights_against_plain_counts(spark):
+    rows = [(i, "vile words here" if i % 3 == 0 else "good words here" if i % 3 == 1 else "a vile plant here", int(i % 3 == 0)) for i in range(90)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    lexicon = tox.learned(docs, labels, lambda d: d >= 0)
+    toxic, other = 30, 60
+    for e, w in lexicon.entries.items():
+        holds = lambda t: any((x + " ").startswith(e) for x in t.split())  # noqa: B023, E731
+        p, n = sum(holds(t) for _, t, y in rows if y), sum(holds(t) for _, t, _ in rows)
+        assert w == pytest.approx(np.log((p + 0.5) / (toxic + 1)) - np.log((n - p + 0.5) / (other + 1)))
+    assert lexicon.exceptions == () or all("vile" in e for e in lexicon.exceptions)
+    same = docs.withColumn("text", docs["doc_id"].cast("string"))
+    assert tox.learned(same, labels, lambda d: d >= 0).entries == {}  # no entry is found, and nothing fails
+    assert tox.score_toxicity(docs, tox.learned(same, labels, lambda d: d >= 0)).count() == 90
