@@ -331,3 +331,22 @@ def one_of_each(docs: DataFrame, percent: int) -> DataFrame:
 
 def op1_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), PERCENT)
+
+
+#: The same by comparing all texts that share a shingle.
+SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT r, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g
+  FROM d),
+x AS (SELECT r, unnest(g) AS h FROM s),
+c AS (SELECT a.r AS a, b.r AS b, count(*) AS n FROM x a JOIN x b ON a.h = b.h AND a.r < b.r GROUP BY a.r, b.r),
+l AS (SELECT a, b FROM c JOIN s p ON p.r = a JOIN s q ON q.r = b WHERE 100 * n >= {PERCENT} * (len(p.g) + len(q.g) - n)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+reach(r, other) AS (SELECT r, r FROM d UNION SELECT reach.r, e.b FROM reach JOIN e ON reach.other = e.a),
+least AS (SELECT reach.r, min(o.doc_id) AS component_id FROM reach JOIN d o ON o.r = reach.other GROUP BY reach.r)
+SELECT d.doc_id, len(s.g)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM d JOIN s USING (r) JOIN least USING (r)
+"""

@@ -328,3 +328,19 @@ def remove_repeats(docs: DataFrame, hot: int = HOT, with_kept: bool = True) -> D
 
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), with_kept=False).drop("kept")
+
+
+#: The same by counting all windows.
+SQL = """
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, p, md5_number(substring(h, 2 * p + 1, 400)) AS m FROM (SELECT r, h, unnest(range(0, greatest(0, len(h) // 2 - 199))) AS p FROM d)),
+t AS (SELECT m FROM w GROUP BY m HAVING count(*) > 1),
+s AS (SELECT r, p, coalesce(p > 200 + lag(p) OVER (PARTITION BY r ORDER BY p), true) AS fresh FROM w SEMI JOIN t USING (m)),
+g AS (SELECT r, p, sum(fresh::INT) OVER (PARTITION BY r ORDER BY p) AS span FROM s),
+v AS (SELECT r, span, min(p) AS a, max(p) + 200 AS b FROM g GROUP BY r, span),
+k AS (SELECT v.r, sum(b - a) AS gone, count(*) AS spans, list(a ORDER BY a) AS starts, list(b ORDER BY a) AS ends FROM v GROUP BY v.r)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(CASE WHEN spans IS NULL THEN h ELSE array_to_string(list_transform(range(0, spans + 1), lambda i:
+         substring(h, CASE WHEN i = 0 THEN 1 ELSE 2 * ends[i] + 1 END, CASE WHEN i = spans THEN len(h) ELSE 2 * starts[i + 1] END - CASE WHEN i = 0 THEN 0 ELSE 2 * ends[i] END)), '') END)) AS kept_sha256
+FROM d LEFT JOIN k USING (r)
+"""
