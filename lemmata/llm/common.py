@@ -6,7 +6,6 @@ import contextlib
 import ctypes
 import functools
 import gc
-import tempfile
 import uuid
 
 import numpy as np
@@ -15,28 +14,20 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from ..operators.store import folder
+
 #: The white space that separates words everywhere in this subpackage.
 SPACES = " \t\n\x0b\x0c\r"
 
 
-def scratch(spark: SparkSession) -> str:
-    """The folder for intermediate tables: ``spark.checkpoint.dir`` of the
-    session, which driver and executors share. Only where it is unset, as in
-    local tests, a temporary folder of this machine is taken."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="lemmata-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
 def written(df: DataFrame, what: str, batch: int = 1000) -> DataFrame:
-    """``df`` as a Parquet table in the scratch folder, read again. This cuts
+    """``df`` as a Parquet table in this application's folder in
+    ``spark.checkpoint.dir``, read again. This cuts
     the lineage, and the rows survive the loss of any executor. Python
     functions in its plan get ``batch`` rows at a time, which bounds what they
     and the JVM hold of long texts."""
     spark = df.sparkSession
-    path, key = f"{scratch(spark)}/{what}-{uuid.uuid4().hex}", "spark.sql.execution.arrow.maxRecordsPerBatch"
+    path, key = f"{folder(spark)}/{what}-{uuid.uuid4().hex}", "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
     spark.conf.set(key, str(batch))
     try:
