@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from .functions import accumulators as a
 from .functions.expr import call, eq, f, lit, this, v
+from .operators.rulebase import Rulebase
 from .operators.session import Session
 from .plans.model import FactType, acc, and_, cond, exists, insert, not_, or_, query, retract, rule, test
-from .sources.tables import session
-from .tools.inspect import fact_graph
+from .sources.tables import fact_type, session
+from .tools.inspect import activations_fired, explanations, fact_graph, rule_matches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -183,3 +184,154 @@ def truth_maintenance(spark, sf_dir):
 def fact_graph_edges(spark, sf_dir):
     s = session(spark, tables(spark, sf_dir, "customer orders"), [BIG_RULE], [BIG]).fire()
     return fact_graph(s).groupBy("kind", "rule").agg(F.count("*").alias("n"))
+
+
+# further rows of the inventory
+
+NATIONS = cond("nation", eq(v("k"), f("n_nationkey")), eq(v("r"), f("n_regionkey")))
+simple("acc_min_fact", "orders", [acc("x", a.min_(call(lambda p, k: F.struct(p, k), f("o_totalprice"), f("o_orderkey")), returns_fact=True), ORDERS)], "SELECT o_custkey AS c, o_orderkey AS k, o_totalprice AS p FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) AS r FROM orders) WHERE r = 1", _select("c", "x.o_orderkey AS k", "x.o_totalprice AS p"))
+simple("acc_all_facts", "nation", [acc("x", a.all_(), cond("nation", eq(v("r"), f("n_regionkey"))))], "SELECT n_regionkey AS r, string_agg(n_nationkey || n_name, ',' ORDER BY n_nationkey || n_name) AS x FROM nation GROUP BY n_regionkey", _select("r", "array_join(array_sort(transform(x, i -> concat(i.n_nationkey, i.n_name))), ',') AS x"))
+simple("acc_null_groups", "supplier", [acc("n", a.count(), cond("supplier", eq(v("g"), call(lambda x: F.when(x % 3 == 0, F.lit(None)).otherwise(x % 3), f("s_nationkey")))))], "SELECT CASE WHEN s_nationkey % 3 = 0 THEN NULL ELSE s_nationkey % 3 END AS g, count(*) AS n FROM supplier GROUP BY 1", _select("CAST(g AS INT) AS g", "n"))
+simple("negated_test", "supplier", [cond("supplier", eq(v("s"), f("s_suppkey")), eq(v("b"), f("s_acctbal"))), not_(test(v("b") > 0))], "SELECT s_suppkey AS s, s_acctbal AS b FROM supplier WHERE NOT s_acctbal > 0")
+simple("negation_double", "customer orders", [cond("customer", eq(v("c"), f("c_custkey"))), not_(not_(cond("orders", eq(v("c"), f("o_custkey")), f("o_totalprice") > 250000)))], "SELECT c_custkey AS c FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_totalprice > 250000")
+simple("distribution", "nation supplier customer", [and_(NATIONS, or_(cond("supplier", eq(v("k"), f("s_nationkey")), f("s_acctbal") < 0, eq(v("x"), f("s_suppkey"))), cond("customer", eq(v("k"), f("c_nationkey")), f("c_acctbal") < -900, eq(v("x"), f("c_custkey")))))], "SELECT n_nationkey AS k, n_regionkey AS r, s_suppkey AS x FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE s_acctbal < 0 UNION ALL SELECT n_nationkey, n_regionkey, c_custkey FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE c_acctbal < -900")
+simple("rule_without_conditions", "region", [cond("Start", eq(v("n"), f("n")))], "SELECT 1 AS n", rules=[rule("start", [], insert("Start", n=lit(1)))], derived=[FactType("Start", "n int")])
+
+
+@entry("acc_distinct_facts", "SELECT n_regionkey AS r, count(*) AS n FROM nation GROUP BY n_regionkey")
+def acc_distinct_facts(spark, sf_dir):
+    t = table(spark, sf_dir, "nation")
+    q = query("q", [acc("x", a.distinct(), cond("nation", eq(v("r"), f("n_regionkey"))))])
+    return session(spark, {"nation": t.unionByName(t)}, [q]).fire().query("q").selectExpr("r", "CAST(size(x) AS BIGINT) AS n")
+
+
+@entry("identity", "SELECT n_nationkey AS k FROM nation")
+def identity(spark, sf_dir):
+    """Each nation twice: one pair of each by rising identity."""
+    t = table(spark, sf_dir, "nation")
+    q = query("q", [cond("nation", eq(v("x"), f("__fid")), eq(v("k"), f("n_nationkey"))), cond("nation", f("__fid") > v("x"), eq(v("k"), f("n_nationkey")))])
+    s = Session(Rulebase([fact_type("nation", t)], [q], identity=True), spark)
+    return s.insert("nation", t).insert("nation", t).fire().query("q").select("k")
+
+
+@entry("pending_order", "SELECT s_suppkey AS s, s_nationkey AS n FROM supplier WHERE s_nationkey >= 5")
+def pending_order(spark, sf_dir):
+    """Retracted before it is inserted, a fact stays; after it, it goes."""
+    t = table(spark, sf_dir, "supplier")
+    high, low = t.where("s_nationkey >= 5"), t.where("s_nationkey < 5")
+    s = session(spark, {"supplier": t.limit(0)}, [SUPPLIERS])
+    return s.retract("supplier", high).insert("supplier", t).retract("supplier", low).fire().query("q")
+
+
+@entry("before_firing", "SELECT s_suppkey AS s, s_nationkey AS n FROM supplier WHERE s_acctbal < 0")
+def before_firing(spark, sf_dir):
+    """What is queued after a firing is not seen before the next."""
+    t = table(spark, sf_dir, "supplier")
+    s = session(spark, {"supplier": t.where("s_acctbal < 0")}, [SUPPLIERS]).fire()
+    return s.insert("supplier", t.where("s_acctbal >= 0")).query("q")
+
+
+@entry("insert_all_unconditional", "SELECT n_nationkey AS k, x FROM nation, (VALUES ('a'), ('b')) t(x) WHERE n_regionkey = 1")
+def insert_all_unconditional(spark, sf_dir):
+    t = table(spark, sf_dir, "nation")
+    both = rule("both", [NATIONS, test(v("r") == 1)], insert("Mark", each=("x", call(lambda: F.array(F.lit("a"), F.lit("b")))), unconditional=True, k=v("k"), x=v("x")))
+    s = session(spark, {"nation": t}, [both, query("q", [cond("Mark", eq(v("k"), f("k")), eq(v("x"), f("x")))])], [FactType("Mark", "k int, x string")]).fire()
+    return s.retract("nation", t).fire().query("q")
+
+
+@entry("order_within_actions", "SELECT n_nationkey AS k FROM nation WHERE n_regionkey <> 2")
+def order_within_actions(spark, sf_dir):
+    """A retraction comes after the insertions beside it, wherever it is written."""
+    swap = rule("swap", [NATIONS], [retract("Mark", k=v("k")), insert("Mark", k=v("k"), unconditional=True), insert("Mark", when=v("r") != 2, k=v("k"), unconditional=True)])
+    return session(spark, tables(spark, sf_dir, "nation"), [swap, query("q", [cond("Mark", eq(v("k"), f("k")))])], [FactType("Mark", "k int")]).fire().query("q")
+
+
+def _claims(name: str, **options):
+    free = not_(cond("Claim", eq(v("k"), f("k"))))
+    return rule(name, [cond("nation", eq(v("k"), f("n_nationkey"))), free], insert("Claim", unconditional=True, by=lit(name), k=v("k")), **options)
+
+
+CLAIM = FactType("Claim", "by string, k int")
+CLAIMED = query("q", [cond("Claim", eq(v("by"), f("by")), eq(v("k"), f("k")))])
+
+
+@entry("group_functions", "SELECT 'longer' AS by, n_nationkey AS k FROM nation")
+def group_functions(spark, sf_dir):
+    """Rules grouped by the length of their names, longest first."""
+    t = table(spark, sf_dir, "nation")
+    base = Rulebase([fact_type("nation", t), CLAIM], [_claims("short"), _claims("longer"), CLAIMED], lambda r: len(r.name), lambda g: -g)
+    return Session(base, spark).insert("nation", t).fire().query("q")
+
+
+@entry("load_order", "SELECT 'first' AS by, n_nationkey AS k FROM nation")
+def load_order(spark, sf_dir):
+    return session(spark, tables(spark, sf_dir, "nation"), [_claims("first"), _claims("second"), CLAIMED], [CLAIM]).fire().query("q")
+
+
+@entry("group_change", "SELECT n_regionkey AS r, count(*) AS n FROM nation GROUP BY n_regionkey")
+def group_change(spark, sf_dir):
+    """All that a group inserts is there before the next one counts it."""
+    mark = rule("mark", [NATIONS], insert("Mark", unconditional=True, r=v("r")), salience=1)
+    tally = rule("tally", [acc("n", a.count(), cond("Mark", eq(v("r"), f("r"))))], insert("Tally", unconditional=True, r=v("r"), n=v("n")))
+    q = query("q", [cond("Tally", eq(v("r"), f("r")), eq(v("n"), f("n")))])
+    return session(spark, tables(spark, sf_dir, "nation"), [tally, mark, q], [FactType("Mark", "r int"), FactType("Tally", "r int, n bigint")]).fire().query("q")
+
+
+FIRED = query("q", [cond("Seen", eq(v("k"), f("k")))])
+
+
+@entry("fired_once", "SELECT n_nationkey AS k FROM nation UNION ALL SELECT n_nationkey FROM nation WHERE n_regionkey = 1")
+def fired_once(spark, sf_dir):
+    """A second firing fires nothing; facts that went and came back fire again."""
+    t = table(spark, sf_dir, "nation")
+    some = t.where("n_regionkey = 1")
+    seen = rule("seen", [NATIONS], insert("Seen", unconditional=True, k=v("k")))
+    s = session(spark, {"nation": t}, [seen, FIRED], [FactType("Seen", "k int")]).fire().fire()
+    return s.retract("nation", some).fire().insert("nation", some).fire().query("q")
+
+
+@entry("pending_cancelled", "SELECT n_nationkey AS k FROM nation WHERE n_regionkey <> 1")
+def pending_cancelled(spark, sf_dir):
+    """What a rule before it retracts never fires."""
+    drop = rule("drop", [cond("nation", eq(f("n_regionkey"), lit(1)), bind="x")], retract("nation", fact="x"), salience=1)
+    seen = rule("seen", [NATIONS], insert("Seen", unconditional=True, k=v("k")))
+    return session(spark, tables(spark, sf_dir, "nation"), [seen, drop, FIRED], [FactType("Seen", "k int")]).fire().query("q")
+
+
+@entry("unchanged_result", "SELECT n_regionkey AS r, max(n_nationkey) AS m FROM nation GROUP BY n_regionkey")
+def unchanged_result(spark, sf_dir):
+    """More facts that leave a group's maximum as it is do not fire again."""
+    t = table(spark, sf_dir, "nation")
+    top = rule("top", [acc("m", a.max_("n_nationkey"), cond("nation", eq(v("r"), f("n_regionkey"))))], insert("Top", unconditional=True, r=v("r"), m=v("m")))
+    q = query("q", [cond("Top", eq(v("r"), f("r")), eq(v("m"), f("m")))])
+    s = session(spark, {"nation": t}, [top, q], [FactType("Top", "r int, m int")]).fire()
+    return s.insert("nation", t).fire().retract("nation", t).fire().query("q")
+
+
+@entry("full_logging", "SELECT n_nationkey AS k FROM nation")
+def full_logging(spark, sf_dir):
+    """Activations that fired, those whose facts went since included."""
+    t = table(spark, sf_dir, "nation")
+    seen = rule("seen", [NATIONS], insert("Seen", k=v("k")))
+    s = session(spark, {"nation": t}, [seen], [FactType("Seen", "k int")]).with_full_logging().fire()
+    s = s.retract("nation", t.where("n_regionkey = 1")).fire()
+    return activations_fired(s, "seen").select(F.get_json_object("bindings", "$.k").cast("int").alias("k"))
+
+
+@entry("matches", "SELECT c_custkey AS c, o_orderkey AS k, 2 AS n FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' AND o_totalprice > 300000")
+def matches(spark, sf_dir):
+    s = session(spark, tables(spark, sf_dir, "customer orders"), [BIG_RULE], [BIG]).fire()
+    return rule_matches(s, "big-spender").select("c", "k", F.size("matched").alias("n"))
+
+
+@entry("accumulated_facts", "SELECT n_regionkey AS r, count(*) AS n FROM nation GROUP BY n_regionkey")
+def accumulated_facts(spark, sf_dir):
+    tally = rule("tally", [acc("x", a.max_("n_name"), cond("nation", eq(v("r"), f("n_regionkey"))))], insert("Tally", r=v("r")))
+    s = session(spark, tables(spark, sf_dir, "nation"), [tally], [FactType("Tally", "r int")]).fire()
+    return rule_matches(s, "tally").select("r", F.size("accumulated").cast("long").alias("n"))
+
+
+@entry("fact_explanations", "SELECT 'big-spender' AS rule, 2 AS matched, count(*) AS n FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' AND o_totalprice > 300000 HAVING count(*) > 0")
+def fact_explanations(spark, sf_dir):
+    s = session(spark, tables(spark, sf_dir, "customer orders"), [BIG_RULE], [BIG]).fire()
+    return explanations(s).groupBy("rule", F.size("matched").alias("matched")).agg(F.count("*").alias("n"))

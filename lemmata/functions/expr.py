@@ -186,11 +186,23 @@ class Op(Expr):
     def parts(self):
         return self.args
 
+    def _seen(self):
+        """All operands, those of operands included, each once."""
+        out, todo = {}, list(self.args)
+        while todo:
+            e = todo.pop(0)
+            out.setdefault(e.key(), e)
+            todo += e.parts()
+        return list(out.values())
+
     def column(self, scope):
         args = [a.column(scope) for a in self.args]
         out = _OPS[self.name](*args)
         if scope.strict and self.name in ("<", "<=", ">", ">="):
-            return F.when(args[0].isNull() | args[1].isNull(), F.raise_error(F.lit(f"null in a comparison: {scope.strict}"))).otherwise(out)
+            seen = [x for x in self._seen() if isinstance(x, (Field, Var))]
+            with_values = [F.concat(F.lit(f"; {'?' if isinstance(x, Var) else ''}{x.name} = "), F.coalesce(x.column(scope).cast("string"), F.lit("null"))) for x in seen]
+            told = F.concat(F.lit(f"null in a comparison: {scope.strict}"), *with_values)
+            return F.when(args[0].isNull() | args[1].isNull(), F.raise_error(told)).otherwise(out)
         return out
 
 

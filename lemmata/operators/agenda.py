@@ -8,39 +8,44 @@ folder. A rule's new activations fire together, as one batch.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.lower import FID, Lowering, inserted
-from ..plans.model import Action, Insert, Rule
+from ..plans.model import Action, ActionError, Insert, Rule
 from ..plans.stratify import descendants
-from ..tools.loops import LoopError
+from ..tools.loops import limited
 from .rulebase import Rulebase, schema_of
 from .store import stored, values, without
 
 TID = "__tid"
 
 
+def token_id(*parts) -> Column:
+    """128 bits of hash of an activation's parts."""
+    return F.concat(F.hex(F.xxhash64(*parts)), F.lit("-"), F.hex(F.xxhash64(F.lit(1), *parts)))
+
+
 @dataclass(frozen=True)
 class State:
     """Facts that rules derived (with the rule and token behind each), tokens
-    that fired by rule, and ids of derived facts that were retracted."""
+    that fired by rule, events, and, under full logging, every activation that
+    ever fired by rule."""
 
     derived: dict = field(default_factory=dict)
     fired: dict = field(default_factory=dict)
     log: tuple = ()
-
-    def with_gone(self, type: str, gone: DataFrame, left: DataFrame) -> State:
-        return replace(self, derived=self.derived | {type: left})
+    history: dict = field(default_factory=dict)
 
 
 class Agenda:
-    def __init__(self, rulebase: Rulebase, spark: SparkSession, base: dict, state: State, max_cycles: int, listeners: tuple, strict: bool = False):
+    def __init__(self, rulebase: Rulebase, spark: SparkSession, base: dict, state: State, max_cycles: int, listeners: tuple, strict: bool = False, full: bool = False, on_limit="raise"):
         self.rulebase, self.spark = rulebase, spark
         self.base, self.derived, self.fired = dict(base), dict(state.derived), dict(state.fired)
-        self.log = list(state.log)
+        self.log, self.history = list(state.log), dict(state.history)
+        self.full, self.on_limit = full, on_limit
         self.max_cycles, self.listeners, self.strict = max_cycles, listeners, strict
         self.below = descendants(rulebase.types)
 
@@ -70,7 +75,7 @@ class Agenda:
         out = None
         for k, tokens in enumerate(lower.tokens(r.when)):
             parts = [F.col(f"`{c}`") for c in sorted(tokens.columns) if not c.startswith("a_")]
-            tokens = tokens.withColumn(TID, F.xxhash64(F.lit(r.name), F.lit(k), *parts))
+            tokens = tokens.withColumn(TID, token_id(F.lit(r.name), F.lit(k), *parts))
             out = tokens if out is None else out.unionByName(tokens, allowMissingColumns=True)
         return stored(out)
 
@@ -99,12 +104,24 @@ class Agenda:
         self.fired[r.name] = stored(fired)
         if n_new:
             self.tell("fire-activations", r.name, n_new)
+            if self.full:
+                self.remember(r, new)
             self.apply(r, new)
             if r.no_loop:
                 # what its own effects brought about or ended counts as settled
                 self.fired[r.name] = stored(self.current(r).select(TID))
         return bool(r.then) and (n_new > 0 or n_gone > 0)
 
+    def remember(self, r: Rule, new: DataFrame) -> None:
+        """Keeps activations for good: their number in the order of firing,
+        bindings and matched facts."""
+        names = [c for c in new.columns if c.startswith("b_")]
+        ids = [c for c in sorted(new.columns) if c.startswith("m_")]
+        bindings = F.to_json(F.struct(*(F.col(f"`{c}`").alias(c[2:]) for c in names))) if names else F.lit("{}")
+        matched = F.array(*(F.col(c) for c in ids)) if ids else F.array().cast("array<long>")
+        rows = stored(new.select(F.lit(len(self.log)).alias("step"), F.col(TID).alias("activation"), bindings.alias("bindings"), matched.alias("matched")))
+        self.history[r.name] = rows if r.name not in self.history else self.history[r.name].unionByName(rows)
+
     def apply(self, r: Rule, new: DataFrame) -> None:
         """Unconditional insertions, then logical ones, then retractions."""
         order = sorted(enumerate(r.then), key=lambda x: (not isinstance(x[1], Action), not isinstance(x[1], Insert), isinstance(x[1], Insert) and not x[1].unconditional))
@@ -112,7 +129,11 @@ class Agenda:
             if isinstance(t, Action):
                 names = [c for c in new.columns if c.startswith("b_")]
                 for row in new.select(*(F.col(f"`{c}`").alias(c[2:]) for c in names)).toLocalIterator():
-                    t.fn(row.asDict(recursive=True))
+                    bindings = row.asDict(recursive=True)
+                    try:
+                        t.fn(bindings)
+                    except Exception as e:
+                        raise ActionError(r.name, bindings, e) from e
             elif isinstance(t, Insert):
                 cols = self.rulebase.columns(t.type)
                 rows = inserted(new, t, [c for c, _ in cols], dict(cols), [TID, "__at"])
@@ -158,10 +179,10 @@ class Agenda:
                 continue
             cycles += 1
             self.tell("activation-group-transition", None, g)
-            if cycles > self.max_cycles:
-                raise LoopError(f"rules did not settle in {self.max_cycles} cycles")
+            if cycles == self.max_cycles + 1:
+                limited(self.on_limit, self.max_cycles, sorted({rule for _, rule, _ in self.log[-200:] if rule}))
             g = 0
-        return self.base, State(self.derived, self.fired, tuple(self.log))
+        return self.base, State(self.derived, self.fired, tuple(self.log), self.history)
 
     def tell(self, event: str, rule: str | None, what) -> None:
         self.log.append((event, rule, str(what)))

@@ -37,6 +37,8 @@ class Session:
     listeners: tuple = ()
     strict: bool = False
     shared: int = 4
+    full: bool = False
+    on_limit: object = "raise"
     cache: dict = field(default_factory=dict, compare=False, repr=False)
 
     # facts in and out
@@ -61,9 +63,23 @@ class Session:
         return self.spark.createDataFrame([], schema_of(self.rulebase.types[type]))
 
     def with_listener(self, listener) -> Session:
-        """``listener(event, rule, what)`` is called as rules fire; events come
-        from the agenda loop only, as lazy plans have none."""
-        return replace(self, listeners=(*self.listeners, listener))
+        """``listener(event, rule, what)`` is called as rules fire. A lazy plan
+        has no events, so a session with listeners runs the agenda loop, and
+        what it derived before is fired anew as it is taken over."""
+        return replace(self, listeners=(*self.listeners, listener))._taken_over(self)
+
+    def with_full_logging(self) -> Session:
+        """Every activation that ever fires is kept, see
+        ``tools.inspect.activations_fired``; needs the agenda loop too."""
+        return replace(self, full=True)._taken_over(self)
+
+    def with_loop_detection(self, max_cycles: int, on_limit="raise") -> Session:
+        """``on_limit``: ``raise``, ``print`` or a function of the cycles and
+        the rules that were active last."""
+        return replace(self, max_cycles=max_cycles, on_limit=on_limit)
+
+    def _taken_over(self, before: Session) -> Session:
+        return self._identified() if before.mode != "agenda" and self.base else self
 
     def without_listener(self, listener) -> Session:
         return replace(self, listeners=tuple(x for x in self.listeners if x is not listener))
@@ -72,14 +88,18 @@ class Session:
 
     @property
     def mode(self) -> str:
-        """The rulebase's mode, or ``agenda`` once there is state to keep."""
-        return "agenda" if self.state is not None else self.rulebase.mode
+        """The rulebase's mode, or ``agenda`` once there is state to keep or
+        events are wanted."""
+        return "agenda" if self.state is not None or self.listeners or self.full else self.rulebase.mode
+
+    def _agenda(self, base: dict, state: State) -> Agenda:
+        return Agenda(self.rulebase, self.spark, base, state, self.max_cycles, self.listeners, self.strict, self.full, self.on_limit)
 
     def _identified(self) -> Session:
         """The session as the agenda loop keeps it. Retracting facts that rules
         inserted needs it: a plan would derive them again."""
         base = {t: stored(df.withColumn(FID, F.xxhash64(F.lit(-1 - i), F.monotonically_increasing_id()))) for i, (t, df) in enumerate(self.base.items())}
-        base, state = Agenda(self.rulebase, self.spark, base, State(), self.max_cycles, self.listeners, self.strict).run()
+        base, state = self._agenda(base, State()).run()
         return replace(self, base=base, state=state, cache={})
 
     def fire(self, cancelling: bool = False) -> Session:
@@ -103,16 +123,14 @@ class Session:
                 continue
             if ids and type in state.derived:
                 # an instance that a rule inserted may be the one to go
-                derived = state.derived[type]
-                left = stored(without(derived, without_given(facts, have)))
-                state = state.with_gone(type, derived.join(left, FID, "left_anti"), left)
+                left = stored(without(state.derived[type], without_given(facts, have)))
+                state = replace(state, derived=state.derived | {type: left})
             if have is not None:
                 base[type] = stored(without(have, facts)) if ids else without(have, facts)
         out = replace(self, base=base, pending=(), serial=serial, cache={})
         if not ids:
             return out
-        agenda = Agenda(self.rulebase, self.spark, base, state, self.max_cycles, self.listeners, self.strict)
-        base, state = agenda.run()
+        base, state = self._agenda(base, state).run()
         return replace(out, base=base, state=state)
 
     def _netted(self) -> list:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,14 +12,28 @@ from pyspark.sql import functions as F
 from ..plans.lower import FID
 
 
+@cache
+def _own_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="lemmata-")
+
+
 def folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session, which driver and executors
-    share; a temporary folder of this machine only where it is unset."""
+    """A folder of this application in ``spark.checkpoint.dir`` of the session,
+    which driver and executors share. Where that is unset, a temporary folder of
+    this machine will do in local mode, and only there."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="lemmata-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = _own_folder()
+    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
+def cleared(spark: SparkSession) -> None:
+    """Deletes all tables that this application stored. DataFrames and sessions
+    that rest on them can't be read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame) -> DataFrame:

@@ -10,6 +10,14 @@ from ..functions.accumulators import from_data as acc_from_data
 from ..functions.expr import Expr, expr, from_data, to_data
 
 
+class ActionError(RuntimeError):
+    """A right-hand side's own error, with the ``rule`` and the ``bindings`` that it met."""
+
+    def __init__(self, rule: str, bindings: dict, cause: BaseException):
+        super().__init__(f"rule {rule} failed on {bindings}: {type(cause).__name__}: {cause}")
+        self.rule, self.bindings = rule, bindings
+
+
 class RuleError(ValueError):
     """A production that cannot be compiled; the message names it."""
 

@@ -40,12 +40,12 @@ def save(session: Session, path: str, with_rulebase: bool = True) -> None:
     if with_rulebase:
         save_rulebase(spark, session.rulebase, path)
     state = session.state or State()
-    parts = {"base": session.base, "derived": state.derived, "fired": state.fired}
+    parts = {"base": session.base, "derived": state.derived, "fired": state.fired, "history": state.history}
     names = {kind: {n: f"{kind}-{i}" for i, n in enumerate(tables)} for kind, tables in parts.items()}
     for kind, tables in parts.items():
         for n, df in tables.items():
             df.write.mode("overwrite").parquet(f"{path}/{names[kind][n]}")
-    manifest = {"tables": names, "schemas": {k: {n: df.schema.jsonValue() for n, df in t.items()} for k, t in parts.items()}, "serial": session.serial, "max_cycles": session.max_cycles, "log": state.log, "agenda": session.state is not None}
+    manifest = {"tables": names, "schemas": {k: {n: df.schema.jsonValue() for n, df in t.items()} for k, t in parts.items()}, "serial": session.serial, "max_cycles": session.max_cycles, "log": state.log, "full": session.full, "agenda": session.state is not None}
     _write_text(spark, f"{path}/manifest", json.dumps(manifest))
 
 
@@ -56,5 +56,5 @@ def load(spark: SparkSession, path: str, rulebase: Rulebase | None = None, **opt
     rulebase = rulebase or load_rulebase(spark, path, **options)
     m = json.loads(_read_text(spark, f"{path}/manifest"))
     parts = {k: {n: spark.read.schema(StructType.fromJson(m["schemas"][k][n])).parquet(f"{path}/{p}") for n, p in t.items()} for k, t in m["tables"].items()}
-    state = State(parts["derived"], parts["fired"], tuple(map(tuple, m["log"]))) if m["agenda"] else None
-    return Session(rulebase, spark, parts["base"], (), state, m["serial"], m["max_cycles"])
+    state = State(parts["derived"], parts["fired"], tuple(map(tuple, m["log"])), parts["history"]) if m["agenda"] else None
+    return Session(rulebase, spark, parts["base"], (), state, m["serial"], m["max_cycles"], full=m["full"])

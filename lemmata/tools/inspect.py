@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.agenda import TID, Agenda, State
+from ..operators.agenda import TID, Agenda, State, token_id
 from ..operators.session import Session
 from ..plans.lower import FID, Lowering
 from ..plans.model import Rule, RuleError
@@ -77,7 +77,7 @@ def fact_graph(session: Session) -> DataFrame:
             lower = _with_ids(session)
             for k, t in enumerate(lower.tokens(r.when)):
                 cols = [F.col(f"`{c}`") for c in sorted(t.columns) if not c.startswith("a_")]
-                t = t.withColumn(TID, F.xxhash64(F.lit(r.name), F.lit(k), *cols))
+                t = t.withColumn(TID, token_id(F.lit(r.name), F.lit(k), *cols))
                 tokens = t if tokens is None else tokens.unionByName(t, allowMissingColumns=True)
         parts += _edges(session, r, tokens)
     out = parts[0]
@@ -88,10 +88,11 @@ def fact_graph(session: Session) -> DataFrame:
 
 def _edges(session: Session, r: Rule, tokens: DataFrame) -> list[DataFrame]:
     out = []
+    activation = F.xxhash64(F.col(TID))
     for prefix, kind in (("m_", "match"), ("a_", "accumulate")):
         for c in (c for c in tokens.columns if c.startswith(prefix)):
             fact = F.explode(c) if prefix == "a_" else F.col(c)
-            out.append(tokens.select(F.lit(kind).alias("kind"), F.lit(r.name).alias("rule"), fact.alias("source"), F.col(TID).alias("target"), F.lit(None).cast("string").alias("fact_type")).where("source is not null"))
+            out.append(tokens.select(F.lit(kind).alias("kind"), F.lit(r.name).alias("rule"), fact.alias("source"), activation.alias("target"), F.lit(None).cast("string").alias("fact_type")).where("source is not null"))
     from ..plans.lower import inserted
 
     for k, t in enumerate(r.then):
@@ -103,10 +104,36 @@ def _edges(session: Session, r: Rule, tokens: DataFrame) -> list[DataFrame]:
             fact = F.xxhash64(F.lit(r.name), TID, F.lit(k), "__at")
         else:
             fact = F.xxhash64(F.lit(t.type), *(F.col(f"`{c}`") for c, _ in cols))
-        out.append(rows.select(F.lit("insert").alias("kind"), F.lit(r.name).alias("rule"), F.col(TID).alias("source"), fact.alias("target"), F.lit(t.type).alias("fact_type")))
+        out.append(rows.select(F.lit("insert").alias("kind"), F.lit(r.name).alias("rule"), activation.alias("source"), fact.alias("target"), F.lit(t.type).alias("fact_type")))
     return out
 
 
+def explanations(session: Session) -> DataFrame:
+    """(fact_type, fact, rule, activation, matched, accumulated) of every
+    derived fact: why it is there, once for each activation that holds it."""
+    edges = fact_graph(session)
+    held = edges.where("kind = 'insert'").select("fact_type", F.col("target").alias("fact"), "rule", F.col("source").alias("activation"))
+    behind = edges.where("kind <> 'insert'").groupBy("rule", F.col("target").alias("activation")).agg(
+        *(F.array_sort(F.collect_set(F.when(F.col("kind") == k, F.col("source")))).alias(c) for k, c in (("match", "matched"), ("accumulate", "accumulated")))
+    )
+    none = F.array().cast("array<long>")
+    return held.join(behind, ["rule", "activation"], "left").select("fact_type", "fact", "rule", "activation", F.coalesce("matched", none).alias("matched"), F.coalesce("accumulated", none).alias("accumulated"))
+
+
+def activations_fired(session: Session, name: str) -> DataFrame:
+    """(step, activation, bindings, matched) of every activation of a rule that
+    ever fired, those whose support has gone included; ``bindings`` is JSON.
+    Needs ``with_full_logging``."""
+    if not session.full:
+        raise RuleError("the session does not log activations; see with_full_logging")
+    if name not in {r.name for r in session.rulebase.rules}:
+        raise RuleError(f"unknown rule {name}")
+    found = session.state.history if session.state else {}
+    if name in found:
+        return found[name]
+    return session.spark.createDataFrame([], "step int, activation string, bindings string, matched array<long>")
+
+
 def explain(session: Session, limit: int = 20) -> str:
     """A text of the rules' matches, ``limit`` of each."""
     lines = []
@@ -123,9 +150,15 @@ def trace(session: Session) -> list[tuple[str, str | None, str]]:
 
 
 def ranked_productions(session: Session) -> list[tuple[str, int]]:
-    """Rules by how many events they caused, most first."""
+    """Rules by the activations that they fired and withdrew, most first. A
+    session that runs as one plan has no such history; its rules, and queries,
+    are ranked by their matches now."""
     n: dict[str, int] = {}
-    for _, rule, _ in trace(session):
-        if rule:
-            n[rule] = n.get(rule, 0) + 1
+    if session.mode == "agenda":
+        for event, rule, what in trace(session):
+            if event in ("fire-activations", "retract-activations"):
+                n[rule] = n.get(rule, 0) + int(what)
+    else:
+        for p in (*session.rulebase.rules, *session.rulebase.queries.values()):
+            n[p.name] = rule_matches(session, p.name).count()
     return sorted(n.items(), key=lambda x: (-x[1], x[0]))

@@ -359,3 +359,32 @@ def test_integers_and_doubles_of_one_value_are_equal(spark):
     q = query("q", [cond("Cold", eq(v("t"), f("temperature"))), cond("D", eq(v("t"), f("x")))])
     s = start(spark, q, types=types).insert("Cold", [(1,)]).insert("D", [(1.0,)]).fire()
     assert s.query("q").count() == 1
+
+
+def test_errors_of_actions_carry_rule_and_bindings(spark):
+    from lemmata.plans.model import ActionError
+
+    def fails(bindings):
+        raise KeyError("x")
+
+    r = rule("breaks", [cond("Temperature", eq(v("t"), f("temperature")), eq(v("l"), f("location")))], [Action(fails)])
+    with pytest.raises(ActionError, match="breaks") as e:
+        start(spark, r).insert("Temperature", [(10, "MCI")]).fire()
+    assert e.value.rule == "breaks" and e.value.bindings == {"t": 10, "l": "MCI"} and isinstance(e.value.__cause__, KeyError)
+
+
+def test_loops_may_warn_or_call(spark, capsys):
+    up = rule("up", [cond("Cold", eq(v("t"), f("temperature"))), test(v("t") < 6)], insert("Cold", unconditional=True, temperature=v("t") + 1))
+    s = start(spark, up, query("q", [cond("Cold", eq(v("t"), f("temperature")))])).insert("Cold", [(0,)])
+    calls = []
+    assert s.with_loop_detection(2, lambda n, rules: calls.append((n, rules))).fire().query("q").count() == 7
+    assert calls == [(2, ["up"])]
+    assert s.with_loop_detection(2, "print").fire().query("q").count() == 7
+    assert capsys.readouterr().out.count("did not settle") == 1
+
+
+def test_condition_errors_tell_values(spark):
+    q = query("q", [cond("WindSpeed", eq(v("l"), f("location")), eq(v("w"), f("windspeed"))), cond("Temperature", eq(v("l"), f("location")), f("temperature") < v("w"))])
+    s = start(spark, q, strict=True).insert("WindSpeed", [(7, "a")]).insert("Temperature", [(None, "a")]).fire()
+    with pytest.raises(Exception, match=r"temperature = null.*\?w = 7"):
+        s.query("q").collect()

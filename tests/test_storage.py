@@ -46,3 +46,59 @@ def test_feed(spark, tmp_path):
     run.awaitTermination()
     assert seen == [2, 1]
     assert bag(feed.session.query("q")) == rows({"t": 12})
+
+
+def test_feed_goes_on_after_a_restart(spark, tmp_path):
+    src, schema = f"{tmp_path}/in", "temperature bigint, location string, op string"
+    stream = lambda: spark.readStream.schema(schema).parquet(f"{src}/*")
+    for n, changes in enumerate(([(10, "a", "insert"), (12, "b", "insert")], [(10, "a", "retract"), (14, "c", "insert")], [(12, "b", "retract")])):
+        spark.createDataFrame(changes, schema).coalesce(1).write.parquet(f"{src}/{n}")
+        feed = Feed(start(spark, COLD, Q), "Temperature", store=f"file://{tmp_path}/kept")  # a new driver each time
+        feed.start(stream(), f"{tmp_path}/cp", availableNow=True).awaitTermination()
+    assert bag(feed.session.query("q")) == rows({"t": 14})
+    feed = Feed(start(spark, COLD, Q), "Temperature", store=f"file://{tmp_path}/kept")
+    feed.batch(spark.createDataFrame([(14, "c", "retract")], schema), 2)  # stored already, so skipped
+    assert bag(feed.session.query("q")) == rows({"t": 14}) and len(feed._kept()) == 2
+
+
+def test_explanations_and_ranking_of_a_plan(spark):
+    s = start(spark, COLD, Q).insert("Temperature", [(10, "a"), (11, "b"), (30, "b")]).fire()
+    assert s.mode != "agenda" and inspect.ranked_productions(s)[0] == ("cold", 2)
+    found = inspect.explanations(s).collect()
+    assert len(found) == 2 and all(r["rule"] == "cold" and len(r["matched"]) == 1 for r in found)
+
+
+def test_full_logging_and_listeners_take_a_plan_over(spark):
+    events = []
+    s = start(spark, COLD, Q).insert("Temperature", [(10, "a")]).fire().with_listener(lambda *e: events.append(e)).with_full_logging()
+    assert ("fire-activations", "cold", 1) in events and bag(s.query("q")) == rows({"t": 10})
+    s = s.insert("Temperature", [(12, "b")]).fire().retract("Temperature", [(10, "a")]).fire()
+    fired = inspect.activations_fired(s, "cold").collect()
+    assert {r["bindings"] for r in fired} >= {'{"t":12}'} and bag(s.query("q")) == rows({"t": 12})
+    assert ("retract-activations", "cold", 1) in events and inspect.trace(s)
+
+
+def test_stored_tables_go(spark, tmp_path, monkeypatch):
+    from lemmata.operators import store
+
+    monkeypatch.setattr(store, "folder", lambda spark: f"file://{tmp_path}/own")
+    df = store.stored(spark.range(3))
+    assert df.count() == 3 and (tmp_path / "own").exists()
+    store.cleared(spark)
+    assert not (tmp_path / "own").exists()
+
+
+def test_no_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from lemmata.operators import store
+
+    def given(base, master):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: base), sparkContext=SimpleNamespace(master=master, applicationId="app-1"))
+
+    assert store.folder(given("hdfs://x/", "yarn")) == "hdfs://x/app-1"
+    assert store.folder(given(None, "local[4]")).startswith("file://")
+    with pytest.raises(RuntimeError, match="share"):
+        store.folder(given(None, "yarn"))
