@@ -17,7 +17,8 @@ much of the table.
 Defined results: a null URL, or one without a host, matches nothing; a null day
 matches nothing; entries with a null part are ignored; of entries for a pattern
 on one day an addition counts last; repeated rows each get their own (equal)
-result; other columns are ignored; an empty table gives an empty result.
+result; other columns are ignored; an empty table gives an empty result. A URL of
+any length has one key for each of its parts, each up to as long as the URL.
 """
 
 from __future__ import annotations
@@ -92,7 +93,7 @@ def judge(captures: DataFrame, entries: DataFrame, id_column: str, url: str, day
 
 def fetched(page_id: Column) -> Column:
     """The tables have no fetch days; this deals them over two years."""
-    return F.date_add(F.lit("2024-01-01").cast("date"), (F.pmod(page_id * 7919, F.lit(730))).cast("int"))
+    return F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(F.pmod(page_id, F.lit(730)) * 7919, F.lit(730)).cast("int"))
 
 
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

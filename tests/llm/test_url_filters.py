@@ -1,6 +1,7 @@
 import datetime as dt
 
 import duckdb
+from pyspark.sql import functions as F
 
 from lemmata.llm import url_filters as uf
 
@@ -43,3 +44,9 @@ def test_sql(spark):
     df = uf.op3_url_filters(spark, d)
     want = c.sql(f"select {', '.join(df.columns)} from ({uf.SQL.strip()})").fetchall()
     assert sorted(map(tuple, df.collect()), key=str) == sorted(want, key=str)
+
+
+def test_days_of_large_ids(spark):
+    ids = [0, 1, 729, 730, 10**6, 2**62, 2**63 - 1, -5]
+    got = [r["d"] for r in spark.createDataFrame([(i,) for i in ids], "i long").select(uf.fetched(F.col("i")).alias("d")).collect()]
+    assert [(d - D(2024, 1, 1)).days for d in got] == [i * 7919 % 730 for i in ids]
