@@ -160,13 +160,22 @@ class Session:
         return self.cache[key]
 
     def _derived(self):
-        """Facts of a type with all that the rules derive, as lazy plans."""
+        """Facts of a type with all that the rules derive, as lazy plans. A plan
+        is built when a type is first asked for, with what it rests on only."""
         if "derived" in self.cache:
             return self.cache["derived"]
         types, rules = self.rulebase.types, self.rulebase.rules
         below = descendants(types)
         derived: dict[str, DataFrame] = {}
         memo: dict[str, DataFrame] = {}
+        groups = strata(rules, types)
+        place = {t: i for i, group in enumerate(groups) for t in group}
+        makers: list[list] = [[] for _ in groups]
+        for r in rules:
+            for t in r.then:
+                makers[place[t.type]].append((r, t))
+        rests = [{s for t in group for s in _reads(m, below, t)} for group, m in zip(groups, makers, strict=True)]
+        done: set[int] = set()
 
         def own(type: str) -> DataFrame:
             out = self.base.get(type)
@@ -176,33 +185,40 @@ class Session:
 
         def facts(type: str) -> DataFrame:
             if type not in memo:
+                todo, need = [type], set()
+                while todo:
+                    for t in below.get(t0 := todo.pop(), [t0]):
+                        i = place.get(t)
+                        if i is not None and i not in need and i not in done:
+                            need.add(i)
+                            todo += rests[i]
+                for i in sorted(need):  # what a group rests on comes before it
+                    if i not in done:
+                        done.add(i)
+                        derive(i)
                 memo[type] = upcast(types, type, {t: own(t) for t in below.get(type, [type])})
             return memo[type]
 
-        for group in strata(rules, types):
-            makers = [(r, t) for r in rules for t in r.then if t.type in group]
-            recursive = any(s in group for t in group for s in _reads(makers, below, t))
-            if recursive:
-                derived |= closed(self, group, makers, facts, below)
-                for t in group:
-                    for a in list(memo):
-                        if t in below.get(a, [a]):
-                            del memo[a]
-                continue
-            lower = Lowering(self.spark, lambda t, i: facts(t), strict=self.strict)
-            parts: dict[str, list] = {}
-            for r, t in makers:
-                cols = self.rulebase.columns(t.type)
-                for tokens in lower.tokens(r.when):
-                    parts.setdefault(t.type, []).append(inserted(tokens, t, [c for c, _ in cols], dict(cols)))
-            for t, frames in parts.items():
-                out = frames[0]
-                for f in frames[1:]:
-                    out = out.unionByName(f)
-                derived[t] = stored(out) if self._readers(t, below) >= self.shared else out
-                for a in list(memo):
-                    if t in below.get(a, [a]):
-                        del memo[a]
+        def derive(i: int) -> None:
+            group = groups[i]
+            if rests[i] & set(group):
+                derived.update(closed(self, group, makers[i], facts, below))
+            else:
+                lower = Lowering(self.spark, lambda t, i: facts(t), strict=self.strict)
+                parts: dict[str, list] = {}
+                for r, t in makers[i]:
+                    cols = self.rulebase.columns(t.type)
+                    for tokens in lower.tokens(r.when):
+                        parts.setdefault(t.type, []).append(inserted(tokens, t, [c for c, _ in cols], dict(cols)))
+                for t, frames in parts.items():
+                    out = frames[0]
+                    for f in frames[1:]:
+                        out = out.unionByName(f)
+                    derived[t] = stored(out) if self._readers(t, below) >= self.shared else out
+            for t in group:
+                for a in [a for a in memo if t in below.get(a, [a])]:
+                    del memo[a]
+
         self.cache["derived"] = facts
         return facts
 
@@ -237,6 +253,8 @@ def _reads(makers, below, type: str) -> set[str]:
 def upcast(types: dict, type: str, frames: dict) -> DataFrame:
     """Facts of a type and of those below it, in the type's own columns, which
     are those of its first table where it has no schema itself."""
+    if list(frames) == [type] and type in types:
+        return frames[type]
     order = [t for t in frames if t == type] + [t for t in frames if t != type]
     if type in types:
         names = [c.name for c in schema_of(types[type]).fields]

@@ -388,3 +388,16 @@ def test_condition_errors_tell_values(spark):
     s = start(spark, q, strict=True).insert("WindSpeed", [(7, "a")]).insert("Temperature", [(None, "a")]).fire()
     with pytest.raises(Exception, match=r"temperature = null.*\?w = 7"):
         s.query("q").collect()
+
+
+def test_a_query_builds_what_it_rests_on_only(spark, monkeypatch):
+    from lemmata.operators import session as module
+
+    made = []
+    kept = module.inserted
+    monkeypatch.setattr(module, "inserted", lambda tokens, t, *a: made.append(t.type) or kept(tokens, t, *a))
+    types = [FactType(f"L{i}", "x bigint") for i in range(40)]
+    chain = [rule(f"r{i}", [cond(f"L{i}", eq(v("x"), f("x")))], insert(f"L{i + 1}", x=v("x"))) for i in range(39) if i != 20]
+    s = start(spark, *chain, query("low", [cond("L3", eq(v("x"), f("x")))]), query("high", [cond("L23", eq(v("x"), f("x")))]), types=types).insert("L0", [(1,)]).insert("L21", [(2,)]).fire()
+    assert [r["x"] for r in s.query("high").collect()] == [2] and made == ["L22", "L23"]
+    assert [r["x"] for r in s.query("low").collect()] == [1] and made[2:] == ["L1", "L2", "L3"]

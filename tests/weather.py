@@ -1,9 +1,9 @@
 """Fact types and helpers of the scenario tests."""
 
-from collections import Counter
-
 from lemmata import FactType, Rulebase, Session
+from lemmata.tools.testing import bag, rows
 
+__all__ = ["TYPES", "bag", "rows", "start"]
 TYPES = [
     FactType("Temperature", "temperature bigint, location string"),
     FactType("WindSpeed", "windspeed bigint, location string"),
@@ -17,12 +17,3 @@ TYPES = [
 
 def start(spark, *productions, types=(), **options):
     return Session(Rulebase([*TYPES, *types], productions), spark, **options)
-
-
-def bag(df):
-    """Rows as a multiset of sorted (column, value) pairs."""
-    return Counter(tuple(sorted(r.asDict(recursive=True).items(), key=lambda x: x[0])) for r in df.collect())
-
-
-def rows(*dicts):
-    return Counter(tuple(sorted(d.items())) for d in dicts)
