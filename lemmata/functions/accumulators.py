@@ -93,7 +93,7 @@ def exists() -> Accumulator:
 
 def _list(s: Scope, p: Column, c: Column, aggregate=F.collect_list) -> Column:
     # inside a struct null stays; the order is by value, so that reruns agree
-    return F.transform(F.array_sort(aggregate(_only(p, F.struct(c.alias("x"))))), lambda e: e["x"])
+    return F.array_sort(aggregate(_only(p, F.struct(c.alias("x")))))["x"]
 
 
 def all_(field=None) -> Accumulator:
@@ -110,22 +110,31 @@ def distinct(field=None) -> Accumulator:
     return Accumulator("distinct", lambda s, p: _list(s, p, by.column(s) if by is not None else s.this(), F.collect_set), lambda: F.array(), **read, data=("distinct", field))
 
 
+def _given(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn`` of a value that is computed once, however often ``fn`` names it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def grouping_by(field, convert: Callable[[Column], Column] | None = None) -> Accumulator:
     """Facts by value of ``field``: an array of (key, items), sorted by key;
     ``convert`` is applied to it."""
     by = _by(field)
 
     def build(s: Scope, p: Column) -> Column:
-        pairs = F.collect_list(_only(p, F.struct(by.column(s).alias("key"), s.this().alias("item"))))
-        # one pass over the sorted pairs: a key equal to the last one's extends its items
-        def step(out, e):
-            last = F.element_at(out, -1)
-            grown = F.struct(e["key"].alias("key"), F.concat(last["items"], F.array(e["item"])).alias("items"))
-            fresh = F.array(F.struct(e["key"].alias("key"), F.array(e["item"]).alias("items")))
-            return F.when((F.size(out) > 0) & F.try_element_at(out, F.lit(-1))["key"].eqNullSafe(e["key"]), F.concat(F.slice(out, 1, F.size(out) - 1), F.array(grown))).otherwise(F.concat(out, fresh))
-
-        grouped = F.transform(F.array_sort(pairs), lambda e: F.struct(e["key"].alias("key"), F.array(e["item"]).alias("items")))
-        return F.aggregate(F.array_sort(pairs), F.slice(grouped, 1, 0), lambda out, e: F.when(F.size(out) == 0, F.array(F.struct(e["key"].alias("key"), F.array(e["item"]).alias("items")))).otherwise(step(out, e)))
+        pairs = F.array_sort(F.collect_list(_only(p, F.struct(by.column(s).alias("key"), s.this().alias("item")))))
+
+        def runs(pairs):
+            """A run of each key, cut out of the sorted pairs."""
+            first = lambda e, i: (i == 0) | ~F.get(pairs, i - 1)["key"].eqNullSafe(e["key"])
+            starts = F.filter(F.transform(pairs, lambda e, i: F.when(first(e, i), i)), lambda i: i.isNotNull())
+            return _given(F.concat(starts, F.array(F.size(pairs))), cut(pairs))
+
+        def cut(pairs):
+            run = lambda ends: lambda i, k: F.slice(pairs, i + 1, F.get(ends, k + 1) - i)
+            of = lambda x: F.struct(F.get(x, F.lit(0))["key"].alias("key"), x["item"].alias("items"))
+            return lambda ends: F.transform(F.transform(F.slice(ends, 1, F.size(ends) - 1), run(ends)), of)
+
+        return _given(pairs, runs)
 
     return Accumulator("grouping_by", build, lambda: F.array(), by.fields(), True, convert, ("grouping_by", field) if convert is None else ())
 

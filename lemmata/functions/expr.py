@@ -18,14 +18,28 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Scope:
-    """Columns behind names while an expression is lowered."""
+    """What names stand for while an expression is lowered: Columns, or SQL text."""
 
-    field: Callable[[str], Column]
-    var: Callable[[str], Column]
+    field: Callable[[str], Column | str]
+    var: Callable[[str], Column | str]
     this: Callable[[], Column] | None = None
     strict: str | None = None  # what to say of null in a comparison, if it is an error
 
 
+def as_column(x: Column | str) -> Column:
+    return F.expr(x) if isinstance(x, str) else x
+
+
+def every(parts: list) -> Column | str | None:
+    """The conjunction of Columns and SQL texts; None of nothing."""
+    if all(isinstance(x, str) for x in parts):
+        return " AND ".join(parts) or None
+    out = as_column(parts[0])
+    for x in parts[1:]:
+        out = out & as_column(x)
+    return out
+
+
 class Expr:
     """Base of all expressions; equality of nodes is ``same``, as ``==`` builds
     an expression."""
@@ -39,6 +53,16 @@ class Expr:
     def column(self, scope: Scope) -> Column:
         raise NotImplementedError
 
+    def text(self, scope: Scope) -> str | None:
+        """The same as SQL, where it is made of names, plain values and
+        operators: a text is one call into the JVM, a Column several for each
+        of its parts."""
+        return None
+
+    def lowered(self, scope: Scope) -> Column | str:
+        out = self.text(scope)
+        return self.column(scope) if out is None else out
+
     def vars(self) -> frozenset[str]:
         return frozenset().union(*(p.vars() for p in self.parts())) if self.parts() else frozenset()
 
@@ -119,6 +143,16 @@ class Lit(Expr):
     def column(self, scope):
         return F.lit(self.value)
 
+    def text(self, scope):
+        x = self.value
+        if x is None or isinstance(x, bool):
+            return str("NULL" if x is None else x)
+        if isinstance(x, int):
+            return str(x) if -(2**31) < x < 2**31 else f"{x}L" if -(2**63) < x < 2**63 else None
+        if isinstance(x, str) and x.isprintable() and not set(x) & set("'\\"):
+            return f"'{x}'"
+        return None
+
 
 class Field(Expr):
     def __init__(self, name: str):
@@ -131,7 +165,11 @@ class Field(Expr):
         return frozenset([self.name])
 
     def column(self, scope):
-        return scope.field(self.name)
+        return as_column(scope.field(self.name))
+
+    def text(self, scope):
+        x = scope.field(self.name)
+        return x if isinstance(x, str) else None
 
 
 class Var(Expr):
@@ -145,7 +183,11 @@ class Var(Expr):
         return frozenset([self.name])
 
     def column(self, scope):
-        return scope.var(self.name)
+        return as_column(scope.var(self.name))
+
+    def text(self, scope):
+        x = scope.var(self.name)
+        return x if isinstance(x, str) else None
 
 
 class This(Expr):
@@ -176,6 +218,15 @@ _OPS: dict[str, Callable[..., Column]] = {
 }
 
 
+_TEXTS = {
+    **{k: f"({{0}} {k} {{1}})" for k in ("+", "-", "*", "/", "%", "<", "<=", ">", ">=")},
+    "!=": "(NOT ({0} <=> {1}))",
+    "&": "({0} AND {1})",
+    "|": "({0} OR {1})",
+    "~": "(NOT coalesce({0}, false))",
+}
+
+
 class Op(Expr):
     def __init__(self, name: str, args: tuple[Expr, ...]):
         self.name, self.args = name, args
@@ -205,6 +256,12 @@ class Op(Expr):
             return F.when(args[0].isNull() | args[1].isNull(), F.raise_error(told)).otherwise(out)
         return out
 
+    def text(self, scope):
+        args = [a.text(scope) for a in self.args]
+        if None in args or (scope.strict and self.name in ("<", "<=", ">", ">=")):
+            return None
+        return _TEXTS[self.name].format(*args)
+
 
 def op(name: str, *args) -> Op:
     return Op(name, tuple(map(expr, args)))
@@ -229,6 +286,12 @@ class Eq(Expr):
             out = out & first.eqNullSafe(r) if r is not rest[0] else first.eqNullSafe(r)
         return out
 
+    def text(self, scope):
+        args = [a.text(scope) for a in self.args]
+        if None in args or len(args) < 2:
+            return None
+        return "(" + " AND ".join(f"({args[0]} <=> {r})" for r in args[1:]) + ")"
+
 
 class Call(Expr):
     """A function of Columns. ``fn`` is a callable or an import path

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import importlib
 import json
 from collections.abc import Callable, Iterable
@@ -15,7 +16,12 @@ from ..plans.stratify import mode, read_types
 
 
 def schema_of(t: FactType) -> T.StructType:
-    return t.schema if isinstance(t.schema, T.StructType) else T.StructType.fromDDL(t.schema)
+    return t.schema if isinstance(t.schema, T.StructType) else _parsed(t.schema)
+
+
+@functools.lru_cache(maxsize=10_000)
+def _parsed(ddl: str) -> T.StructType:
+    return T.StructType.fromDDL(ddl)
 
 
 class Rulebase:

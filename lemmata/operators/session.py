@@ -181,7 +181,14 @@ class Session:
             out = self.base.get(type)
             if type in derived:
                 out = derived[type] if out is None else out.unionByName(derived[type])
-            return self.empty(type) if out is None else out
+            if out is not None:
+                return out
+            # types of one schema share one table without facts
+            schema = types[type].schema
+            key = ("empty", schema if isinstance(schema, str) else schema.json())
+            if key not in self.cache:
+                self.cache[key] = self.empty(type)
+            return self.cache[key]
 
         def facts(type: str) -> DataFrame:
             if type not in memo:

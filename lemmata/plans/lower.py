@@ -11,8 +11,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.expr import Scope
+from ..functions.expr import Scope, as_column, every
 from .model import Acc, Cond, Query, RuleError, Test
 from .normalize import analyse, conjunctions, exported, mentioned, ordered
 
@@ -59,7 +60,7 @@ class Lowering:
         if isinstance(c, Test):
             base = self.unit() if tokens is None else tokens
             for e in c.exprs:
-                base = base.where(e.column(_on_tokens("a test" if self.strict else None)))
+                base = base.where(e.lowered(_on_tokens("a test" if self.strict else None)))
             return base
         if isinstance(c, Acc):
             return self.accumulate(tokens, c, i)
@@ -69,76 +70,75 @@ class Lowering:
             return self.negation(tokens, c.parts[0], i)
         raise RuleError(f"cannot lower {c.op}")
 
-    def candidates(self, c: Cond, i: int, whole: bool = False, extra: frozenset = frozenset()):
+    def candidates(self, c: Cond, i: int, whole: bool = False, extra: frozenset = frozenset(), alone: bool = False):
         """Facts that pass the local constraints: columns ``c_<variable>``, and
-        ``x_<field>`` for fields that later steps read."""
+        ``x_<field>`` for fields that later steps read; as tokens if ``alone``."""
         self.serial += 1
         a = analyse(c)
         facts = self.facts(c.type, i)
         names = [n for n in facts.columns if not n.startswith("__")]
         argument = dict(c.args)
-        local: dict[str, Column] = {}
+        local: dict[str, Column | str] = {}
 
-        def field(name: str) -> Column:
+        def field(name: str) -> Column | str:
             if name in argument:
-                return argument[name].column(Scope(lambda n: F.col(f"`{n}`"), _none, lambda: fact()))
+                return argument[name].lowered(Scope(_quoted, _none, lambda: as_column(fact())))
             if name == FID and FID in facts.columns:
-                return F.col(FID)
+                return FID
             if name not in names:
                 raise RuleError(f"{c.type} has no field {name}")
-            return F.col(f"`{name}`")
+            return _quoted(name)
 
-        def fact() -> Column:
-            return F.struct(*(F.col(f"`{n}`") for n in names))
+        def fact() -> str:
+            return f"struct({', '.join(map(_quoted, names))})"
 
-        scope = Scope(field, lambda n: local[n], fact, f"a condition on {c.type}" if self.strict else None)
+        scope = Scope(field, lambda n: local[n], lambda: as_column(fact()), f"a condition on {c.type}" if self.strict else None)
         if c.bind:
             local[c.bind] = fact()
-        passed = F.lit(True)
+        passed: list[Column | str] = []
         for name, e in a.local:
             if name is None:
-                passed = passed & e.column(scope)
+                passed.append(e.lowered(scope))
             elif name in local:
-                passed = passed & local[name].eqNullSafe(e.column(scope))
+                passed.append(_same(local[name], e.lowered(scope)))
             else:
-                local[name] = e.column(scope)
+                local[name] = e.lowered(scope)
         later = frozenset().union(*(e.fields() for _, e in a.joined)) if a.joined else frozenset()
-        keep = [field(n).alias(f"x_{n}") for n in sorted(later | extra)]
+        keep = [(field(n), f"x_{n}") for n in sorted(later | extra)]
         if whole or any(e.uses_this() for _, e in a.joined):
-            keep.append(fact().alias("__this"))
+            keep.append((fact(), "__this"))
+        out = facts.where(every(passed)) if passed else facts
+        if alone:
+            return a, chosen(out, [*((local[n], f"b_{n}") for n in a.binds), *([(FID, f"m_{i}")] if self.lineage and FID in facts.columns else [])])
         if FID in facts.columns:
-            keep.append(F.col(FID).alias("__id"))
-        out = facts.where(passed) if a.local else facts
-        return a, out.select(*(local[n].alias(f"c_{n}") for n in a.binds), *keep, F.lit(True).alias("__here"))
+            keep.append((FID, "__id"))
+        return a, chosen(out, [*((local[n], f"c_{n}") for n in a.binds), *keep, ("true", "__here")])
 
     def matched(self, tokens: DataFrame | None, a, cand: DataFrame):
         """Join keys, join predicate, and columns that the join creates."""
         have = {n[2:] for n in (tokens.columns if tokens is not None else ()) if n.startswith("b_")}
         keys = [n for n in a.binds if n in have]
-        scope = Scope(lambda n: F.col(f"`x_{n}`"), lambda n: made[n] if n in made else F.col(f"`c_{n}`") if n in a.binds and n not in have else F.col(f"`b_{n}`"), lambda: F.col("__this"), "a join filter" if self.strict else None)
-        made: dict[str, Column] = {}
-        on = None
-        for n in keys:
-            k = F.col(f"`b_{n}`").eqNullSafe(F.col(f"`c_{n}`"))
-            on = k if on is None else on & k
+        scope = Scope(lambda n: f"`x_{n}`", lambda n: made[n] if n in made else f"`c_{n}`" if n in a.binds and n not in have else f"`b_{n}`", lambda: F.col("__this"), "a join filter" if self.strict else None)
+        made: dict[str, Column | str] = {}
+        on: list[Column | str] = [_same(f"`b_{n}`", f"`c_{n}`") for n in keys]
         for name, e in a.joined:
-            value = e.column(scope)
+            value = e.lowered(scope)
             if name is None:
-                k = value
+                on.append(value)
             elif name in have:
-                k = F.col(f"`b_{name}`").eqNullSafe(value)
+                on.append(_same(f"`b_{name}`", value))
             elif name in made:
-                k = made[name].eqNullSafe(value)
+                on.append(_same(made[name], value))
             elif name in a.binds:
-                k = F.col(f"`c_{name}`").eqNullSafe(value)
+                on.append(_same(f"`c_{name}`", value))
             else:
                 made[name] = value
-                continue
-            on = k if on is None else on & k
         new = [n for n in a.binds if n not in have]
-        return keys, new, made, on
+        return keys, new, made, as_column(every(on)) if on else None
 
     def positive(self, tokens: DataFrame | None, c: Cond, i: int) -> DataFrame:
+        if tokens is None and not analyse(c).joined:
+            return self.candidates(c, i, alone=True)[1]
         a, cand = self.candidates(c, i)
         if a.needs and tokens is None:
             raise RuleError(f"unbound variables: {', '.join(sorted(a.needs))}")
@@ -148,9 +148,9 @@ class Lowering:
             old = []
         else:
             joined = tokens.crossJoin(cand) if on is None else tokens.join(cand, on, "inner")
-            old = [F.col(f"`{n}`") for n in tokens.columns]
-        ids = [F.col("__id").alias(f"m_{i}")] if self.lineage and "__id" in cand.columns else []
-        return joined.select(*old, *(F.col(f"`c_{n}`").alias(f"b_{n}") for n in new), *(e.alias(f"b_{n}") for n, e in made.items()), *ids)
+            old = [(_quoted(n), n) for n in tokens.columns]
+        ids = [("__id", f"m_{i}")] if self.lineage and "__id" in cand.columns else []
+        return chosen(joined, [*old, *((f"`c_{n}`", f"b_{n}") for n in new), *((e, f"b_{n}") for n, e in made.items()), *ids])
 
     def negation(self, tokens: DataFrame | None, c, i: int) -> DataFrame:
         base = self.unit() if tokens is None else tokens
@@ -197,7 +197,7 @@ class Lowering:
             return joined.select(*(F.col(f"`{n}`") for n in base.columns), *(F.col(f"`c_{n}`").alias(f"b_{n}") for n in new))
         vars_ = [n for n in base.columns if n.startswith("b_")]
         pairs = base.select(*(F.col(f"`{n}`") for n in vars_)).distinct().join(cand, on if on is not None else F.lit(True))
-        found = pairs.select(*(F.col(f"`{n}`").alias(f"s_{n}") for n in vars_), *(F.col(f"`c_{n}`").alias(f"n_{n}") for n in new), *(e.alias(f"n_{n}") for n, e in made.items())).distinct()
+        found = pairs.select(*(F.col(f"`{n}`").alias(f"s_{n}") for n in vars_), *(F.col(f"`c_{n}`").alias(f"n_{n}") for n in new), *(as_column(e).alias(f"n_{n}") for n, e in made.items())).distinct()
         return _attach(base, found, vars_).select(*(F.col(f"`{n}`") for n in base.columns), *(F.col(f"`n_{n}`").alias(f"b_{n}") for n in (*new, *made)))
 
     def accumulate(self, tokens: DataFrame | None, c: Acc, i: int) -> DataFrame:
@@ -207,12 +207,12 @@ class Lowering:
         keys, new, made, on = self.matched(base, a, cand)
         if made:
             raise RuleError(f"a join filter of an accumulator cannot bind {', '.join(made)}")
-        fields = Scope(lambda n: F.col(f"`x_{n}`"), _none, lambda: F.col("__this"))
+        fields = Scope(lambda n: f"`x_{n}`", _none, lambda: F.col("__this"))
         value = acc.column(fields, F.col("__here")).alias("__value")
         used = [F.collect_list(F.when(F.col("__here"), F.col("__id"))).alias("__used")] if self.lineage and "__id" in cand.columns else []
         outer = not new and acc.empty is not None
-        old = [F.col(f"`{n}`") for n in base.columns]
-        ids = [F.col("__used").alias(f"a_{i}")] if used else []
+        old = [(_quoted(n), n) for n in base.columns]
+        ids = [("__used", f"a_{i}")] if used else []
         if not a.joined:
             # facts are reduced once for each group, before they meet tokens
             if keys or new:
@@ -233,16 +233,15 @@ class Lowering:
             groups = pairs.groupBy(*(F.col(f"`{n}`") for n in vars_), *(F.col(f"`c_{n}`") for n in new)).agg(value, *used)
             groups = groups.select(*(F.col(f"`{n}`").alias(f"s_{n}") for n in vars_), *(F.col(f"`c_{n}`") for n in new), "__value", *(["__used"] if used else []))
             joined = _attach(base, groups, vars_)
-        result = F.col("__value")
+        result: Column | str = "__value"
         if outer:
-            result = F.coalesce(result, acc.nothing().cast(joined.schema["__value"].dataType))
-        out = joined.select(*old, *(F.col(f"`c_{n}`").alias(f"b_{n}") for n in new), result.alias("__result"), *ids)
-        out = out.where(F.col("__result").isNotNull())
+            result = F.coalesce(F.col("__value"), acc.nothing().cast(joined.schema["__value"].dataType))
+        unify = c.result is not None and f"b_{c.result}" in base.columns + [f"b_{n}" for n in new]
+        into = f"b_{c.result}" if c.result is not None and not unify else "__result"
+        out = chosen(joined, [*old, *((f"`c_{n}`", f"b_{n}") for n in new), (result, into), *ids]).where(f"`{into}` IS NOT NULL")
         if c.result is None:
             return out.drop("__result")
-        if f"b_{c.result}" in out.columns:
-            return out.where(F.col(f"`b_{c.result}`").eqNullSafe(F.col("__result"))).drop("__result")
-        return out.withColumnRenamed("__result", f"b_{c.result}")
+        return out.where(_same(f"`b_{c.result}`", "__result")).drop("__result") if unify else out
 
     # productions
 
@@ -251,7 +250,7 @@ class Lowering:
         names = sorted(set().union(*(exported(c) for conj in conjunctions(q.when) for c in conj)) if q.when else set())
         out = None
         for tokens in self.tokens(q.when):
-            part = tokens.select(*(F.col(f"`b_{n}`").alias(n) for n in names if f"b_{n}" in tokens.columns))
+            part = chosen(tokens, [(f"`b_{n}`", n) for n in names if f"b_{n}" in tokens.columns])
             out = part if out is None else out.unionByName(part, allowMissingColumns=True)
         for n, value in (params or {}).items():
             out = out.where(F.col(f"`{n}`").eqNullSafe(F.lit(value)))
@@ -268,11 +267,34 @@ def inserted(tokens: DataFrame, t, columns: list[str], types: dict, keep: list[s
     elif "__at" in keep:
         rows = rows.withColumn("__at", F.lit(0))
     if t.when is not None:
-        rows = rows.where(t.when.column(scope))
+        rows = rows.where(t.when.lowered(scope))
     given = dict(t.columns)
     if unknown := set(given) - set(columns):
         raise RuleError(f"{t.type} has no field {', '.join(sorted(unknown))}")
-    return rows.select(*((given[c].column(scope) if c in given else F.lit(None)).cast(types[c]).alias(c) for c in columns), *keep)
+    return chosen(rows, [*((_cast(given[c].lowered(scope) if c in given else "NULL", types[c]), c) for c in columns), *((_quoted(c), c) for c in keep)])
+
+
+def chosen(df: DataFrame, columns: list) -> DataFrame:
+    """A selection of (Column or SQL text, name)."""
+    if all(isinstance(x, str) for x, _ in columns):
+        return df.selectExpr(*(f"{x} AS `{n}`" for x, n in columns))
+    return df.select(*(as_column(x).alias(n) for x, n in columns))
+
+
+def _quoted(name: str) -> str:
+    return f"`{name}`"
+
+
+def _same(a: Column | str, b: Column | str) -> Column | str:
+    if isinstance(a, str) and isinstance(b, str):
+        return f"({a} <=> {b})"
+    return as_column(a).eqNullSafe(as_column(b))
+
+
+def _cast(x: Column | str, kind: T.DataType) -> Column | str:
+    if isinstance(x, str) and isinstance(kind, T.AtomicType):
+        return f"CAST({x} AS {kind.simpleString()})"
+    return as_column(x).cast(kind)
 
 
 def _none(name: str) -> Column:
@@ -280,7 +302,7 @@ def _none(name: str) -> Column:
 
 
 def _on_tokens(strict: str | None = None) -> Scope:
-    return Scope(_none, lambda n: F.col(f"`b_{n}`"), None, strict)
+    return Scope(_none, lambda n: f"`b_{n}`", None, strict)
 
 
 def _attach(base: DataFrame, found: DataFrame, vars_: list[str]) -> DataFrame:
