@@ -11,8 +11,11 @@ stored once, so that chains of such types do not multiply their work.
 
 from __future__ import annotations
 
+from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -161,7 +164,9 @@ class Session:
 
     def _derived(self):
         """Facts of a type with all that the rules derive, as lazy plans. A plan
-        is built when a type is first asked for, with what it rests on only."""
+        is built when a type is first asked for, with what it rests on only;
+        ``facts.ready`` builds those of several types, side by side where they
+        do not rest on each other."""
         if "derived" in self.cache:
             return self.cache["derived"]
         types, rules = self.rulebase.types, self.rulebase.rules
@@ -176,6 +181,13 @@ class Session:
                 makers[place[t.type]].append((r, t))
         rests = [{s for t in group for s in _reads(m, below, t)} for group, m in zip(groups, makers, strict=True)]
         done: set[int] = set()
+        readers = self._readers(below)
+        above: dict[str, set[str]] = {t: {t} for t in place}
+        for a, ts in below.items():
+            for t in ts:
+                above.setdefault(t, {t}).add(a)
+        # these run jobs
+        eager = {i for i, group in enumerate(groups) if rests[i] & group or any(readers[t] >= self.shared for t in group)}
 
         def own(type: str) -> DataFrame:
             out = self.base.get(type)
@@ -192,20 +204,33 @@ class Session:
 
         def facts(type: str) -> DataFrame:
             if type not in memo:
-                todo, need = [type], set()
-                while todo:
-                    for t in below.get(t0 := todo.pop(), [t0]):
-                        i = place.get(t)
-                        if i is not None and i not in need and i not in done:
-                            need.add(i)
-                            todo += rests[i]
-                for i in sorted(need):  # what a group rests on comes before it
-                    if i not in done:
-                        done.add(i)
-                        derive(i)
+                ready([type])
                 memo[type] = upcast(types, type, {t: own(t) for t in below.get(type, [type])})
             return memo[type]
 
+        def ready(wanted: list[str], run=None) -> None:
+            todo, need = list(wanted), set()
+            while todo:
+                for t in below.get(t0 := todo.pop(), [t0]):
+                    i = place.get(t)
+                    if i is not None and i not in need and i not in done:
+                        need.add(i)
+                        todo += rests[i]
+            levels: dict[int, list[int]] = {}
+            level: dict[int, int] = {}
+            for i in sorted(need):  # what a group rests on comes before it
+                under = {place[d] for t in rests[i] for d in below.get(t, [t]) if d in place} - {i}
+                level[i] = 1 + max((level[j] for j in under if j in level), default=-1)
+                levels.setdefault(level[i], []).append(i)
+            for n in sorted(levels):
+                done.update(levels[n])
+                lazy = [i for i in levels[n] if i not in eager]
+                for i in levels[n]:
+                    if run is None or i in eager:
+                        derive(i)
+                if run is not None:
+                    run(derive, lazy)
+
         def derive(i: int) -> None:
             group = groups[i]
             if rests[i] & set(group):
@@ -221,18 +246,19 @@ class Session:
                     out = frames[0]
                     for f in frames[1:]:
                         out = out.unionByName(f)
-                    derived[t] = stored(out) if self._readers(t, below) >= self.shared else out
+                    derived[t] = stored(out) if readers[t] >= self.shared else out
             for t in group:
-                for a in [a for a in memo if t in below.get(a, [a])]:
-                    del memo[a]
+                for a in above[t]:
+                    memo.pop(a, None)
 
+        facts.ready = ready
         self.cache["derived"] = facts
         return facts
 
-    def _readers(self, type: str, below: dict) -> int:
-        """Conditions of rules and queries that read facts of a type."""
+    def _readers(self, below: dict) -> Counter:
+        """How many conditions of rules and queries read facts of each type."""
         every = (*self.rulebase.rules, *self.rulebase.queries.values())
-        return sum(type in below.get(t, [t]) for p in every for c in p.when for t, _ in read_types(c))
+        return Counter(d for p in every for c in p.when for t, _ in read_types(c) for d in below.get(t, [t]))
 
     def facts(self, type: str) -> DataFrame:
         """All facts of a type and of those below it after the last firing."""
@@ -250,6 +276,25 @@ class Session:
             raise RuleError(f"query {name} takes parameters {sorted(found.params)}, not {sorted(given)}")
         return self.lowering().query(found, given)
 
+    def planned(self, names=None, threads: int = 4) -> dict[str, DataFrame]:
+        """Several queries without parameters, or all of them, with their plans
+        built by ``threads`` threads."""
+        found = [self.rulebase.queries[n] for n in (self.rulebase.queries if names is None else names)]
+        if any(q.params for q in found):
+            raise RuleError("a query with parameters has no plan by itself")
+        lower = self.lowering()
+        with ThreadPoolExecutor(threads) as pool:
+
+            def run(fn, items) -> list:
+                # some items to a thread, as each thread has its own way into the JVM
+                parts = [items[k::threads] for k in range(threads)]
+                waits = [pool.submit(inheritable_thread_target(self.spark)(lambda part=part: [fn(x) for x in part])) for part in parts if part]
+                return [x for w in waits for x in w.result()]
+
+            if self.mode != "agenda":
+                self._derived().ready([t for q in found for c in q.when for t, _ in read_types(c)], run)
+            return dict(run(lambda q: (q.name, lower.query(q)), found))
+
 
 def _reads(makers, below, type: str) -> set[str]:
     from ..plans.stratify import sources

@@ -3,7 +3,7 @@ import itertools
 import pytest
 from weather import bag, rows, start
 
-from lemmata import Action, FactType, RuleError, acc, and_, cond, eq, exists, f, insert, lit, not_, or_, query, retract, rule, test, this, v
+from lemmata import Action, FactType, Rulebase, RuleError, Session, acc, and_, call, cond, eq, exists, f, insert, lit, not_, or_, query, retract, rule, test, this, v
 from lemmata.functions import accumulators as a
 from lemmata.plans.model import from_dict, to_dict
 
@@ -401,3 +401,45 @@ def test_a_query_builds_what_it_rests_on_only(spark, monkeypatch):
     s = start(spark, *chain, query("low", [cond("L3", eq(v("x"), f("x")))]), query("high", [cond("L23", eq(v("x"), f("x")))]), types=types).insert("L0", [(1,)]).insert("L21", [(2,)]).fire()
     assert [r["x"] for r in s.query("high").collect()] == [2] and made == ["L22", "L23"]
     assert [r["x"] for r in s.query("low").collect()] == [1] and made[2:] == ["L1", "L2", "L3"]
+
+
+def test_plans_of_several_queries_at_once(spark):
+    types = [FactType("N", "x bigint"), FactType("Even", "x bigint"), FactType("Odd", "x bigint"), FactType("Pair", "x bigint, y bigint"), FactType("Path", "x bigint, y bigint")]
+    productions = [
+        rule("even", [cond("N", v("x") == f("x"), f("x") % 2 == 0)], insert("Even", x=v("x"))),
+        rule("odd", [cond("N", v("x") == f("x"), f("x") % 2 == 1)], insert("Odd", x=v("x"))),
+        rule("pair", [cond("Even", v("x") == f("x")), cond("Odd", f("x") > v("x"), v("y") == f("x"))], insert("Pair", x=v("x"), y=v("y"))),
+        rule("first", [cond("Pair", v("x") == f("x"), v("y") == f("y"))], insert("Path", x=v("x"), y=v("y"))),
+        rule("more", [cond("Path", v("x") == f("x"), v("y") == f("y")), cond("Pair", v("x") == f("x") + 1, v("y") == f("y"))], insert("Path", x=v("x"), y=v("y"))),
+        query("pairs", [cond("Pair", v("x") == f("x"), v("y") == f("y"))]),
+        query("odds", [acc("n", a.count(), cond("Odd"))]),
+        query("paths", [cond("Path", v("x") == f("x"), v("y") == f("y"))]),
+    ]
+    s = Session(Rulebase(types, productions), spark).insert("N", [(i,) for i in range(6)]).fire()
+    plans = s.planned(threads=3)
+    again = Session(Rulebase(types, productions), spark).insert("N", [(i,) for i in range(6)]).fire()
+    for name in ("pairs", "odds", "paths"):
+        assert sorted(map(tuple, plans[name].collect())) == sorted(map(tuple, again.query(name).collect()))
+    assert plans["odds"].collect()[0]["n"] == 3
+
+
+def test_expressions_mean_the_same_as_text_and_as_columns(spark):
+    """Expressions of names, values and operators are lowered as SQL text, but
+    as Columns beside a function of Columns."""
+    same = lambda e: call(lambda c: c, e)
+    big, quote, back = 2**40, "it's", "a\\b"
+    made = [
+        (f("x") + 1, "bigint"), (f("x") - f("z"), "bigint"), (f("x") * big, "bigint"), (f("x") / 4, "double"), (f("x") % 3, "bigint"), (f("z") * 1.5, "double"),
+        (f("x") < f("z"), "boolean"), (f("x") != f("z"), "boolean"), (f("s") == quote, "boolean"), (f("s") == back, "boolean"), (f("s") == "plain", "boolean"),
+        (~(f("z") > 1), "boolean"), ((f("x") > 0) & (f("z") > 0), "boolean"), ((f("x") > 2) | (f("z") > 0), "boolean"), (lit(None) == f("z"), "boolean"), (lit(-(2**31)) + f("x"), "bigint"), (lit(True) & (f("x") == 1), "boolean"),
+    ]
+    rows = [(1, 2, "it's"), (2, None, "a\\b"), (3, 3, None), (4, -1, "plain")]
+    types = [FactType("N", "x bigint, z bigint, s string")] + [FactType(f"Out{i}", f"x bigint, v {kind}") for i, (_, kind) in enumerate(made)]
+    before: list = []
+    for wrap in (lambda e: e, same):
+        s = Session(Rulebase(types, [rule(f"r{i}", [cond("N", v("x") == f("x"), v("v") == wrap(e))], insert(f"Out{i}", x=v("x"), v=v("v"))) for i, (e, _) in enumerate(made)]), spark).insert("N", rows).fire()
+        found = [sorted(map(tuple, s.facts(f"Out{i}").collect())) for i in range(len(made))]
+        if wrap is same:
+            assert found == before
+        before = found
+    assert before[0] == [(1, 2), (2, 3), (3, 4), (4, 5)] and before[8][0] == (1, True) and before[9][1] == (2, True)
