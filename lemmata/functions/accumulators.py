@@ -23,7 +23,8 @@ Build = Callable[[Scope, Column], Column]
 @dataclass(frozen=True)
 class Accumulator:
     """``build`` gives the aggregate; ``empty`` what no facts give, or None if
-    they give nothing; ``used`` the fields that are read."""
+    they give nothing; ``used`` the fields that are read. With ``merge``, an
+    aggregate over results of ``build``, a group may be reduced in parts."""
 
     name: str
     build: Build
@@ -32,13 +33,16 @@ class Accumulator:
     whole: bool = False
     finish: Callable[[Column], Column] | None = None
     data: tuple = ()
+    merge: Callable[[Column], Column] | None = None
 
     def with_finish(self, fn: Callable[[Column], Column]) -> Accumulator:
         """The same reduction with another conversion of its result."""
         return replace(self, finish=fn, data=())
 
     def column(self, scope: Scope, present: Column) -> Column:
-        out = self.build(scope, present)
+        return self.finished(self.build(scope, present))
+
+    def finished(self, out: Column) -> Column:
         return self.finish(out) if self.finish else out
 
     def nothing(self) -> Column | None:
@@ -139,21 +143,27 @@ def grouping_by(field, convert: Callable[[Column], Column] | None = None) -> Acc
     return Accumulator("grouping_by", build, lambda: F.array(), by.fields(), True, convert, ("grouping_by", field) if convert is None else ())
 
 
-def accum(initial, reduce: Callable[[Column, Column], Column], finish: Callable[[Column], Column] | None = None, field=None, empty: bool = True) -> Accumulator:
+def accum(initial, reduce: Callable[[Column, Column], Column], finish: Callable[[Column], Column] | None = None, field=None, empty: bool = True, combine: Callable[[Column, Column], Column] | None = None) -> Accumulator:
     """A reduction by Column functions over the facts, or values of ``field``,
     in sorted order. ``initial`` is a value or a function that gives a Column;
-    without it the first value starts the reduction and no facts give nothing."""
+    without it the first value starts the reduction and no facts give nothing.
+    With ``combine``, which makes one of two results in any order and for which
+    ``initial`` is neutral, each partition reduces its share of a group first,
+    so that no list holds a whole group."""
     by = _by(field) if field is not None else None
     read = _reader(by) if by is not None else {"whole": True}
 
-    def build(s: Scope, p: Column) -> Column:
-        items = _list(s, p, by.column(s) if by is not None else s.this())
+    def over(items: Column, fn: Callable[[Column, Column], Column]) -> Column:
         if initial is None:
-            return F.when(F.size(items) > 0, F.aggregate(F.slice(items, 2, F.greatest(F.size(items), F.lit(1))), F.get(items, F.lit(0)), reduce))
-        return F.aggregate(items, begin(), reduce)
+            return _given(items, lambda x: F.when(F.size(x) > 0, F.aggregate(F.slice(x, 2, F.greatest(F.size(x), F.lit(1))), F.get(x, F.lit(0)), fn)))
+        return F.aggregate(items, begin(), fn)
+
+    def build(s: Scope, p: Column) -> Column:
+        return over(_list(s, p, by.column(s) if by is not None else s.this()), reduce)
 
     begin = initial if callable(initial) else lambda: F.lit(initial)
-    return Accumulator("accum", build, begin if initial is not None and empty else None, **read, finish=finish)
+    merge = (lambda c: over(F.array_sort(F.collect_list(c)), combine)) if combine else None
+    return Accumulator("accum", build, begin if initial is not None and empty else None, **read, finish=finish, merge=merge)
 
 
 def accum_python(fn: Callable[[list], object], kind: T.DataType | str, field=None, empty=None) -> Accumulator:
@@ -161,7 +171,7 @@ def accum_python(fn: Callable[[list], object], kind: T.DataType | str, field=Non
     slow way: prefer ``accum``."""
     by = _by(field) if field is not None else None
     read = _reader(by) if by is not None else {"whole": True}
-    run = F.udf(fn, kind)
+    run = F.udf(fn, kind, useArrow=True)
     return Accumulator("accum_python", lambda s, p: run(_list(s, p, by.column(s) if by is not None else s.this())), (lambda: F.lit(empty)) if empty is not None else None, **read)
 
 

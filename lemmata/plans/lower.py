@@ -208,17 +208,13 @@ class Lowering:
         if made:
             raise RuleError(f"a join filter of an accumulator cannot bind {', '.join(made)}")
         fields = Scope(lambda n: f"`x_{n}`", _none, lambda: F.col("__this"))
-        value = acc.column(fields, F.col("__here")).alias("__value")
         used = [F.collect_list(F.when(F.col("__here"), F.col("__id"))).alias("__used")] if self.lineage and "__id" in cand.columns else []
         outer = not new and acc.empty is not None
         old = [(_quoted(n), n) for n in base.columns]
         ids = [("__used", f"a_{i}")] if used else []
         if not a.joined:
             # facts are reduced once for each group, before they meet tokens
-            if keys or new:
-                groups = cand.groupBy(*(F.col(f"`c_{n}`") for n in (*keys, *new))).agg(value, *used)
-            else:
-                groups = cand.agg(value, *used)
+            groups = _reduced(cand, [f"c_{n}" for n in (*keys, *new)], acc, fields, used)
             if tokens is None:
                 joined = groups
             elif on is None:
@@ -230,7 +226,7 @@ class Lowering:
             vars_ = [n for n in base.columns if n.startswith("b_")]
             few = base.select(*(F.col(f"`{n}`") for n in vars_)).distinct()
             pairs = few.join(cand, on, "left" if outer else "inner")
-            groups = pairs.groupBy(*(F.col(f"`{n}`") for n in vars_), *(F.col(f"`c_{n}`") for n in new)).agg(value, *used)
+            groups = _reduced(pairs, [*vars_, *(f"c_{n}" for n in new)], acc, fields, used)
             groups = groups.select(*(F.col(f"`{n}`").alias(f"s_{n}") for n in vars_), *(F.col(f"`c_{n}`") for n in new), "__value", *(["__used"] if used else []))
             joined = _attach(base, groups, vars_)
         result: Column | str = "__value"
@@ -257,6 +253,16 @@ class Lowering:
         return out
 
 
+def _reduced(facts: DataFrame, by: list[str], acc, fields: Scope, used: list[Column]) -> DataFrame:
+    """Facts by ``by`` with an accumulator's result; first by partition, where
+    it can merge results."""
+    keys = [F.col(f"`{n}`") for n in by]
+    if acc.merge is None:
+        return facts.groupBy(*keys).agg(acc.column(fields, F.col("__here")).alias("__value"), *used)
+    parts = facts.groupBy(*keys, F.spark_partition_id().alias("__part")).agg(acc.build(fields, F.col("__here")).alias("__value"), *used)
+    return parts.groupBy(*keys).agg(acc.finished(acc.merge(F.col("__value"))).alias("__value"), *([F.flatten(F.collect_list("__used")).alias("__used")] if used else []))
+
+
 def inserted(tokens: DataFrame, t, columns: list[str], types: dict, keep: list[str] = ()) -> DataFrame:
     """The facts that one insertion makes of each token, in the type's columns."""
     scope = _on_tokens()

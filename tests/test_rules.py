@@ -130,6 +130,56 @@ def test_custom_accumulators(spark):
     assert bag(s.query("q")) == rows({"x": 13, "m": 3, "p": 2})
 
 
+@pytest.mark.parametrize("identity", [False, True])
+def test_accumulators_reduced_in_parts(spark, identity):
+    """With ``combine`` results are those of a reduction of whole groups: with
+    keys, behind a join filter, for no facts, and in the agenda loop too."""
+    from pyspark.sql import functions as F
+
+    zero = lambda: F.lit(0).cast("long")
+    square = lambda s, e: s + e * e
+    add = lambda s, t: s + t
+    total = lambda **k: a.accum(zero, square, lambda c: c + 1000, field="x", **k)
+    most = lambda **k: a.accum(None, lambda s, e: F.greatest(s, e), field="x", **k)
+    types = [FactType("N", "g bigint, x bigint"), FactType("Bound", "b bigint"), FactType("None", "g bigint, x bigint")]
+
+    def productions(k: dict, m: dict) -> list:
+        out = []
+        for n, of in (("total", lambda: total(**k)), ("most", lambda: most(**m))):
+            out += [
+                query(f"{n}_all", [acc("r", of(), cond("N"))]),
+                query(f"{n}_keys", [acc("r", of(), cond("N", v("g") == f("g")))]),
+                query(f"{n}_theta", [cond("Bound", v("b") == f("b")), acc("r", of(), cond("N", f("x") < v("b")))]),
+                query(f"{n}_none", [acc("r", of(), cond("None"))]),
+            ]
+        return out
+
+    facts = spark.range(0, 300, numPartitions=7).selectExpr("IF(id % 3 = 0, NULL, id % 3) AS g", "id % 50 AS x")
+    found = []
+    for k, m in (({}, {}), ({"combine": add}, {"combine": lambda s, t: F.greatest(s, t)})):
+        s = Session(Rulebase(types, productions(k, m), identity=identity), spark).insert("N", facts).insert("Bound", [(0,), (7,), (100,)]).fire()
+        found.append({n: sorted(map(str, s.query(n).collect())) for n in s.rulebase.queries})
+    assert found[0] == found[1]
+    squares = sum((i % 50) ** 2 for i in range(300))
+    assert found[1]["total_all"] == [f"Row(r={squares + 1000})"] and found[1]["total_none"] == ["Row(r=1000)"] and found[1]["most_none"] == []
+    assert len(found[1]["total_keys"]) == 3 and len(found[1]["total_theta"]) == 3 and len(found[1]["most_theta"]) == 2
+
+
+def test_grouping_cuts_runs_of_equal_keys(spark):
+    types = [FactType("N", "k bigint, x bigint")]
+    facts = [(i % 4 if i % 4 else None, i) for i in range(41)] + [(9, 1), (9, 1)]
+    s = Session(Rulebase(types, [query("q", [acc("g", a.grouping_by("k"), cond("N"))])]), spark).insert("N", facts).fire()
+    groups = {g["key"]: [x["x"] for x in g["items"]] for g in s.query("q").first()["g"]}
+    assert groups == {k: sorted(x for j, x in facts if j == k) for k in (None, 1, 2, 3, 9)}
+
+
+def test_python_reductions_get_facts(spark):
+    types = [FactType("N", "k bigint, x bigint")]
+    whole = a.accum_python(lambda xs: sum(x["k"] * x["x"] for x in xs), "long")
+    s = Session(Rulebase(types, [query("q", [acc("n", whole, cond("N"))])]), spark).insert("N", [(2, 3), (4, 5)]).fire()
+    assert s.query("q").first()["n"] == 26
+
+
 def test_truth_maintenance_counts_support(spark):
     r = rule("cold", [cond("ColdAndWindy", eq(v("t"), f("temperature")))], insert("Cold", temperature=v("t")))
     s = start(spark, r, query("q", [cond("Cold", eq(v("t"), f("temperature")))])).insert("ColdAndWindy", [(20, 20), (20, 20)]).fire()
