@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from lemmata.llm import components as components_module
 from lemmata.llm import near_dups as nd
 from lemmata.llm import suffix_dedup as sd
 from lemmata.llm.components import Forest, components
@@ -133,6 +134,25 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100}
 
 
+def test_rounds_of_components_read_less_and_less(spark, monkeypatch):
+    tables = []
+    kept = components_module.written
+    monkeypatch.setattr(components_module, "written", lambda df, what, *a: tables.append((what, kept(df, what, *a))) or tables[-1][1])
+    rng = random.Random(9)
+    nodes = [10 * i for i in range(1000)]
+    edges = list(zip(nodes, nodes[1:], strict=False))  # a chain, a dense group and a random tree
+    edges += [(10**6 + rng.randrange(100), 10**6 + rng.randrange(100)) for _ in range(1500)]
+    edges += [(2 * 10**6 + rng.randrange(i), 2 * 10**6 + i) for i in range(1, 800)]
+    f = Forest()
+    for a, b in edges:
+        f.join(a, b)
+    want = {x: f.find(x) for e in edges for x in e if e[0] != e[1]}
+    got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == want
+    assert sum(t.count() for what, t in tables if what in ("edges", "labels")) < 4 * (len(want) + len(set(edges)))
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_common_counts():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 50, rng.integers(1, 30)).astype(np.uint64)) for _ in range(20)]
